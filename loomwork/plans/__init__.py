@@ -1,0 +1 @@
+"""Loomwork plans."""
