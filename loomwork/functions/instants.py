@@ -47,6 +47,12 @@ CASCADE = [
 ]
 
 
+def wall_micros(ntz: Column) -> Column:
+    """A timestamp without zone as microseconds since 1970-01-01 read as UTC, whatever the session's zone."""
+    clock = F.hour(ntz).cast("bigint") * 3600 + F.minute(ntz) * 60
+    return F.unix_date(F.to_date(ntz)).cast("bigint") * DAY_US + clock * 1_000_000 + (F.date_part(F.lit("SECOND"), ntz) * 1_000_000).cast("bigint")
+
+
 def _zone_shift(instant_us: Column, zone: Column) -> Column:
     """The wall clock of `zone` at an instant, as microseconds read as if they were UTC."""
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(instant_us), zone))

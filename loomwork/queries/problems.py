@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.functions.instants import notation, utc_micros
+from loomwork.functions.instants import notation, utc_micros, wall_micros
 from loomwork.functions.text import folded_key
 from loomwork.operators.heavy_keys import keys_above_share, skew_safe_aggregate, skew_safe_join
 from loomwork.operators.joins import lookup_join
@@ -56,7 +56,7 @@ def p1_employer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"n_rows": F.sum("n"), "first_ingest": F.min("lo"), "last": F.max("hi")},
         )
         parts.append(stats.select(F.lit(feed).alias("feed"), "company_key", "n_rows", "first_ingest",
-            F.unix_micros(F.col("last.fetched_at").cast("timestamp")).alias("last_fetched_us"), F.col("last.ingest_id").alias("last_ingest")))
+            wall_micros(F.col("last.fetched_at")).alias("last_fetched_us"), F.col("last.ingest_id").alias("last_ingest")))
     return reduce(DataFrame.unionByName, parts)
 
 
