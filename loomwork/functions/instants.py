@@ -22,7 +22,7 @@ ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 60, "CEST": 120, "BST": 60,
 #: English month names.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AaPp][Mm]))?"
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([AaPp][Mm])(?![A-Za-z]))?"
 _ZONE = r"(Z|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)+|[A-Z]{3,4}|[+-]\d{2}(?::?\d{2})?(?:\[[^\]]+\])?)"
 _MONTH = r"([A-Za-z]{3})[a-z]*"
 
