@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.canonical import map_values
 from loomwork.llm.leakage import find_leaks
+from loomwork.llm.repeated_lines import count_lines, excess_lines, explode_lines, name_lines, plain_lines, remove_lines, with_html_lines
 from loomwork.llm.tokenizer import encode_corpus
 from loomwork.queries import Registry
 from loomwork.session import table
@@ -57,3 +58,48 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which tiles of 5 words or more cover at least half of the item, reordered or not."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=5, min_longest=5, min_coverage=0.5)
+
+
+def board_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feed, board, ingest_id, posting, part, pos, line, folded) of lever's plain texts and workable's description."""
+    lever = table(spark, sf_dir, "lever_postings").select(F.lit("lever").alias("feed"), "board", "ingest_id", F.col("id").alias("posting"), "descriptionPlain", "additionalPlain")
+    keys = ["feed", "board", "ingest_id", "posting", "part"]
+    plain = [
+        explode_lines(lever.select("feed", "board", "ingest_id", "posting", F.lit(c).alias("part"), plain_lines(F.col(c)).alias("lines")), keys)
+        for c in ("descriptionPlain", "additionalPlain")
+    ]
+    workable = table(spark, sf_dir, "workable_jobs").select(
+        F.lit("workable").alias("feed"), "board", "ingest_id", F.col("shortcode").alias("posting"), F.lit("description").alias("part"), F.col("description").alias("lines")
+    )
+    return reduce(DataFrame.unionByName, [*plain, explode_lines(with_html_lines(workable, "lines"), keys)])
+
+
+def board_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(board, posting) of the tables of board_lines."""
+    pairs = (("lever_postings", "id"), ("workable_jobs", "shortcode"))
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select("board", F.col(c).alias("posting")) for t, c in pairs])
+
+
+@registry.query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in at least 8 distinct postings of one board."""
+    lines = board_lines(spark, sf_dir)
+    counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
+    return name_lines(excess_lines(counts), lines, "board").select(F.col("source").alias("board"), "line")
+
+
+@registry.query()
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines with their counts inside and outside the board and the significance of the excess."""
+    lines = board_lines(spark, sf_dir)
+    counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
+    named = name_lines(excess_lines(counts), lines, "board")
+    return named.select(F.col("source").alias("board"), "line", "n_in", "n_out", F.round("llr", 3).alias("llr"), F.col("significant").cast("int").alias("significant"))
+
+
+@registry.query()
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without its board's repeated lines."""
+    lines = board_lines(spark, sf_dir)
+    counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
+    return remove_lines(lines, excess_lines(counts), "board", ["feed", "ingest_id", "part"])
