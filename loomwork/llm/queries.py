@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.canonical import map_values
+from loomwork.llm.language import fit_network, identify, label_language
 from loomwork.llm.leakage import find_leaks
 from loomwork.llm.repeated_lines import count_lines, excess_lines, explode_lines, name_lines, plain_lines, remove_lines, with_html_lines
 from loomwork.llm.tokenizer import encode_corpus
@@ -103,3 +104,27 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = board_lines(spark, sf_dir)
     counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
     return remove_lines(lines, excess_lines(counts), "board", ["feed", "ingest_id", "part"])
+
+
+@registry.query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of postings without a right label, and of the lines of mixed ones."""
+    return p3_languages(spark, sf_dir).filter("not right_label and (whole or seg > 0)").select("ingest_id", "seg", "lang")
+
+
+@registry.query()
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting (segment 0) and every line of a mixed one with language, confidence and share of the text, and whether its label was right."""
+    greenhouse = table(spark, sf_dir, "greenhouse_jobs").select("ingest_id", "content", "language")
+    net = fit_network(greenhouse, "ingest_id", "content", "language")
+    labelled = greenhouse.select("ingest_id", "content", F.lit(True).alias("is_html"), F.coalesce(label_language(F.col("language")), F.lit("?")).alias("label"))
+    plain = [
+        table(spark, sf_dir, t).select("ingest_id", F.col("descriptionPlain").alias("content"), F.lit(False).alias("is_html"), F.lit(None).cast("string").alias("label"))
+        for t in ("lever_postings", "ashby_jobs")
+    ]
+    found = identify(reduce(DataFrame.unionByName, [labelled, *plain]), net)
+    # A labelled feed is judged as a whole, the others line by line where lines differ.
+    whole = F.col("label").isNotNull() | (F.col("share") == 1.0)
+    return found.select("ingest_id", "seg", "lang", "confidence", "share", whole.alias("whole"), F.coalesce(F.col("label") == F.col("lang"), F.lit(False)).alias("right_label")).filter(
+        F.col("label").isNull() | (F.col("seg") == 0)
+    )
