@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from loomwork.llm.canonical import map_values
 from loomwork.llm.language import fit_network, identify, label_language
 from loomwork.llm.leakage import find_leaks
+from loomwork.llm.near_copies import near_copy_classes, near_copy_groups, near_copy_pairs
 from loomwork.llm.repeated_lines import count_lines, excess_lines, explode_lines, name_lines, plain_lines, remove_lines, with_html_lines
 from loomwork.llm.tokenizer import encode_corpus
 from loomwork.queries import Registry
-from loomwork.session import table
+from loomwork.session import materialize, table
 
 registry = Registry()
 
@@ -128,3 +129,22 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ingest_id", "seg", "lang", "confidence", "share", whole.alias("whole"), F.coalesce(F.col("label") == F.col("lang"), F.lit(False)).alias("right_label")).filter(
         F.col("label").isNull() | (F.col("seg") == 0)
     )
+
+
+def _alike_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lever = table(spark, sf_dir, "lever_postings").select("ingest_id", F.col("text").alias("title"), "descriptionPlain")
+    ashby = table(spark, sf_dir, "ashby_jobs").select("ingest_id", "title", "descriptionPlain")
+    return near_copy_classes(lever.unionByName(ashby), "ingest_id", "title", "descriptionPlain", width=3, threshold=0.6, min_words=20)
+
+
+@registry.query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of alike postings, within or across the two feeds."""
+    return near_copy_pairs(*_alike_postings(spark, sf_dir))
+
+
+@registry.query()
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each posting with its group and its number of alike postings."""
+    members, links = _alike_postings(spark, sf_dir)
+    return near_copy_groups(members, materialize(links, "links"))
