@@ -12,6 +12,7 @@ from loomwork.llm.language import fit_network, identify, label_language
 from loomwork.llm.leakage import find_leaks
 from loomwork.llm.near_copies import near_copy_classes, near_copy_groups, near_copy_pairs
 from loomwork.llm.repeated_lines import count_lines, excess_lines, explode_lines, name_lines, plain_lines, remove_lines, with_html_lines
+from loomwork.llm.residue import fit_residue, score_records
 from loomwork.llm.tokenizer import encode_corpus
 from loomwork.queries import Registry
 from loomwork.session import materialize, table
@@ -148,3 +149,17 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each posting with its group and its number of alike postings."""
     members, links = _alike_postings(spark, sf_dir)
     return near_copy_groups(members, materialize(links, "links"))
+
+
+@registry.query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wholly or partly made of template residue, filler, error messages or script notices."""
+    docs = table(spark, sf_dir, "documents")
+    return score_records(docs, fit_residue(docs)).filter("is_residue").select("doc_id").distinct()
+
+
+@registry.query()
+def p10_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other documents, with their scores."""
+    docs = table(spark, sf_dir, "documents")
+    return score_records(docs, fit_residue(docs)).filter("not is_residue").select("doc_id", "score")
