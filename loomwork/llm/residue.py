@@ -31,7 +31,7 @@ BACKGROUND = 300.0
 
 #: Signs of the private use area; white space would be lost in splitting.
 #: Log-odds from which a record is residue without a passage in a trusted form.
-SURE = 12.0
+SURE = 20.0
 #: Log-odds from which a passage in a trusted form decides.
 NEAR = -8.0
 #: Weight of an unlabelled passage's posterior next to a trusted passage's.
