@@ -9,7 +9,7 @@ of min-hashes instead. Exact copies are one class throughout and are expanded on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +39,24 @@ def most_bits(threshold: float) -> int:
     return int(BITS * p + SLACK * (BITS * p * (1 - p)) ** 0.5) + 1
 
 
-def signatures(texts: list[str], bodies: list[str], width: int, min_words: int, hasher: WordHasher) -> dict[str, list]:
-    """Columns of the signature table for the texts whose body has `min_words` words or more; `row` is the place in the list."""
+def shingle_sets(texts: list[str], bodies: list[str], width: int, min_words: int, hasher: WordHasher) -> tuple[list[int], list[np.ndarray]]:
+    """Places and sorted shingle hashes of the texts whose body has `min_words` words or more."""
     body_words = np.diff(hasher(bodies)[1])
     flat, offsets = hasher(texts)
     shingle = windows(flat, width)
-    out: dict[str, list] = {k: [] for k in ("row", "c1", "c2", "n", "bands", "f1", "f2", "shingles")}
-    sets, rows = [], []
+    rows, sets = [], []
     for i in range(len(texts)):
         n = offsets[i + 1] - offsets[i]
         if body_words[i] < min_words or n == 0:
             continue
         one = shingle[offsets[i] : offsets[i + 1] - width + 1] if n >= width else mix(flat[offsets[i] : offsets[i + 1]].sum(keepdims=True))
-        sets.append(np.unique(one))
         rows.append(i)
-    if not sets:
-        return out
+        sets.append(np.unique(one))
+    return rows, sets
+
+
+def signatures(sets: list[np.ndarray]) -> dict[str, object]:
+    """Class (c1, c2), size n, band keys and fingerprint (f1, f2) of each set."""
     sizes = np.array([len(s) for s in sets])
     begin = np.cumsum(sizes) - sizes
     joined = np.concatenate(sets)
@@ -67,13 +69,15 @@ def signatures(texts: list[str], bodies: list[str], width: int, min_words: int,
     keys = np.arange(BANDS, dtype=np.uint64)[None].repeat(len(sets), 0)
     for j in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, j])
-    for s in sets:
-        digest = xxhash.xxh3_128_intdigest(s.tobytes())
-        out["c1"].append((digest >> 64) - (1 << 63))
-        out["c2"].append((digest & ((1 << 64) - 1)) - (1 << 63))
-        out["shingles"].append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
-    out |= {"row": rows, "n": sizes.tolist(), "bands": keys.view(np.int64), "f1": bits[:, 0], "f2": bits[:, 1]}
-    return out
+    digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+    return {
+        "c1": [(d >> 64) - (1 << 63) for d in digests],
+        "c2": [(d & ((1 << 64) - 1)) - (1 << 63) for d in digests],
+        "n": sizes,
+        "bands": np.ascontiguousarray(keys.view(np.int64)),
+        "f1": bits[:, 0],
+        "f2": bits[:, 1],
+    }
 
 
 def mix_fast(h: np.ndarray, k: int) -> np.ndarray:
@@ -81,10 +85,8 @@ def mix_fast(h: np.ndarray, k: int) -> np.ndarray:
     return h * _ODD[k] + _ADD[k]
 
 
-def signature_table(docs: DataFrame, id_col: str, title: str, body: str, width: int, min_words: int) -> DataFrame:
-    """One row a text that takes part: id, class (c1, c2), set size, bands, fingerprint, shingle hashes."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, c1 bigint, c2 bigint, n int, bands array<bigint>, f1 bigint, f2 bigint, shingles binary"
+def _set_batches(docs: DataFrame, id_col: str, title: str, body: str, width: int, min_words: int, schema: str, make: Callable) -> DataFrame:
+    """`make(ids, sets)` for the texts that take part, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -93,20 +95,25 @@ def signature_table(docs: DataFrame, id_col: str, title: str, body: str, width:
                 part = b.slice(at, 1000)
                 bodies = [x or "" for x in part.column(2).to_pylist()]
                 texts = [f"{t or ''}\n{x}" for t, x in zip(part.column(1).to_pylist(), bodies, strict=True)]
-                s = signatures(texts, bodies, width, min_words, hasher)
-                if not s["row"]:
-                    continue
-                bands = np.ascontiguousarray(s["bands"])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(s["row"])), pa.array(s["c1"], pa.int64()), pa.array(s["c2"], pa.int64()), pa.array(s["n"], pa.int32()),
-                     lists, pa.array(s["f1"]), pa.array(s["f2"]), pa.array(s["shingles"], pa.binary())],
-                    names=["id", "c1", "c2", "n", "bands", "f1", "f2", "shingles"],
-                )
+                rows, sets = shingle_sets(texts, bodies, width, min_words, hasher)
+                if rows:
+                    yield make(part.column(0).take(pa.array(rows)), sets)
 
     return docs.filter(F.col(id_col).isNotNull() & F.col(body).isNotNull()).select(id_col, title, body).mapInArrow(run, schema)
 
 
+def _signature_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    s = signatures(sets)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s["bands"].size + 1, BANDS), pa.int32()), pa.array(s["bands"].ravel()))
+    columns = [ids, pa.array(s["c1"], pa.int64()), pa.array(s["c2"], pa.int64()), pa.array(s["n"], pa.int32()), lists, pa.array(s["f1"]), pa.array(s["f2"])]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "c1", "c2", "n", "bands", "f1", "f2"])
+
+
+def _set_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+    return pa.RecordBatch.from_arrays([ids, pa.array(short, pa.binary())], names=["id", "shingles"])
+
+
 def _manhattan(a: Column, b: Column) -> Column:
     """Manhattan distance of the segment counts of two 64-bit numbers, a lower bound of their Hamming distance."""
     total = F.lit(0)
@@ -128,7 +135,11 @@ def near_copy_classes(
     a repeated id keeps one row a distinct text. Bands miss a pair at similarity s with probability
     (1 - s**ROWS)**BANDS: 1.2 % at 0.6, 0.05 % at 0.68, under 1e-7 at 0.8.
     """
-    sig = materialize(signature_table(docs, id_col, title, body, width, min_words), "signatures")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    args = (docs, id_col, title, body, width, min_words)
+    # Only the narrow signatures are kept; the sets, several times their size, are made again where they are needed.
+    sig = materialize(_set_batches(*args, f"id {id_type}, c1 bigint, c2 bigint, n int, bands array<bigint>, f1 bigint, f2 bigint", _signature_batch), "signatures")
+    sets = _set_batches(*args, f"id {id_type}, shingles binary", _set_batch)
     classes = sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
     members = sig.select("id", "c1", "c2").join(classes, ["c1", "c2"]).select("id", "rep").distinct()
     reps = sig.select("id", "c1", "c2", "n", "bands", "f1", "f2").join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2", "id"]).dropDuplicates(["id"])
@@ -144,7 +155,6 @@ def near_copy_classes(
         & (bits <= most)
     )
     pairs = a.join(b, "band").filter(alike).select("id_a", "id_b").distinct()
-    sets = sig.select("id", "shingles")
     both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("shingles").alias("s_a")), "id_a").join(
         sets.select(F.col("id").alias("id_b"), F.col("shingles").alias("s_b")), "id_b"
     )
@@ -159,7 +169,6 @@ def near_copy_classes(
             keep = score >= threshold
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep)), x.column(1).filter(pa.array(keep)), pa.array(score[keep])], names=["rep_a", "rep_b", "similarity"])
 
-    id_type = sig.schema["id"].dataType.simpleString()
     links = both.select("id_a", "id_b", "s_a", "s_b").mapInArrow(verify, f"rep_a {id_type}, rep_b {id_type}, similarity double")
     return members, links
 
