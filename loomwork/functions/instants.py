@@ -113,7 +113,7 @@ def utc_micros(
         month_first = (part(x, 0) == "mdy") | ((part(x, 0) == "slash") & (date_order == "mdy"))
         mon = F.when(day_first, month(part(x, 2))).when(month_first, month(part(x, 1)))
         day = F.when(day_first, number(x, 1)).when(month_first, number(x, 2))
-        date = F.concat_ws("-", part(x, 3), F.lpad(mon.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+        date = F.concat(part(x, 3), F.lit("-"), F.lpad(mon.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
         has_clock, meridian = part(x, 4) != "", F.upper(part(x, 8))
         hour = number(x, 4)
         hour24 = F.when(meridian == "", hour).when(hour.between(1, 12), hour % 12 + F.when(meridian == "PM", 12).otherwise(0))

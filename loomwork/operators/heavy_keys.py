@@ -25,7 +25,9 @@ def detect_heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> tuple[Dat
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    k = min(int(4 / share) + 1, TRACKED // 2)
+    if share * TRACKED < 16:
+        raise ValueError("share is too small for the sketch")
+    k = int(2 / share) + 1
     found = df.select(F.col(key).alias("k")).agg(
         F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {k}, {TRACKED})").alias("top")
     ).first()
@@ -64,13 +66,11 @@ def skew_safe_join(left: DataFrame, right: DataFrame, key: str, how: str = "inne
     """Join a skewed `left` to a `right` that has at most one row a key.
 
     Heavy keys of `left` meet their few right rows (bounded by the number of heavy keys) in a broadcast join;
-    the others shuffle. `how` is inner or left; null keys match nothing. Clashing other columns must be renamed by the caller.
+    the others shuffle. `how` is inner or left; null keys match nothing. Columns of `right` that `left` has already are left out.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    clash = (set(left.columns) & set(right.columns)) - {key}
-    if clash:
-        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    right = right.select(key, *[c for c in right.columns if c not in left.columns])
     heavy, _ = detect_heavy_keys(left, key, share)
     hot, rest = split_heavy(left, key, heavy)
     right_hot = right.join(F.broadcast(heavy), key, "left_semi")

@@ -14,9 +14,10 @@ def lookup_join(left: DataFrame, lookup: DataFrame, key: str, max_rows: int = BR
 
     The lookup's rows are counted first (the count stops at the bound): within it the join is a broadcast and
     `left` isn't shuffled, so skewed keys don't matter; beyond it the join shuffles and AQE splits skewed keys.
-    Null keys match nothing. Repeated keys in the lookup keep one row, so no left row is multiplied.
+    Null keys match nothing. Repeated keys in the lookup keep one row, so no left row is multiplied; columns of
+    the lookup that `left` has already are left out.
     """
-    lookup = lookup.dropDuplicates([key])
+    lookup = lookup.select(key, *[c for c in lookup.columns if c not in left.columns]).dropDuplicates([key])
     if lookup.limit(max_rows + 1).count() <= max_rows:
         lookup = F.broadcast(lookup)
     return left.join(lookup, key, "left")

@@ -33,7 +33,7 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     index, wanted = _index(spark, sf_dir)
     stats = index.select("doc", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    scored = m.bm25(index, wanted, int(stats["n"]), float(stats["mean"] or 1.0)).select("query", "doc", "rank")
+    scored = m.bm25(index, wanted, int(stats["n"]), float(stats["mean"] or 1.0)).withColumn("score", F.round("score", 4))
     return m.top_k(scored, "query", "score", "doc", k)
 
 
@@ -90,7 +90,7 @@ def _reranked(spark: SparkSession, sf_dir: str, found: DataFrame, k: int) -> Dat
 @registry.query(sql=f"with {_BM25}, {_OVERLAP} select query, doc, rank from ok where rank <= 25")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents by BM25 reranked by word overlap, 25 kept."""
-    return _reranked(spark, sf_dir, _bm25(spark, sf_dir, 50), 25).withColumn("score", F.round("score", 4))
+    return _reranked(spark, sf_dir, _bm25(spark, sf_dir, 50), 25).select("query", "doc", "rank")
 
 
 @registry.query(sql=f"""with {_BM25}, {_OVERLAP}, u as (select query, doc, 'bm25' as name, rank from bk where rank <= 50 union all select query, doc, 'overlap', rank from ok where rank <= 50),
