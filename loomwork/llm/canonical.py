@@ -73,10 +73,12 @@ class BKTree:
 
     def __init__(self, keys: Iterable[str]) -> None:
         self.root: Node | None = None
+        self.longest = 0
         for key in dict.fromkeys(keys):
             self.add(key)
 
     def add(self, key: str) -> None:
+        self.longest = max(self.longest, len(key))
         if self.root is None:
             self.root = Node(key)
             return
@@ -92,6 +94,8 @@ class BKTree:
 
     def within(self, text: str, threshold: int) -> list[tuple[int, str]]:
         """Every (distance, key) within the threshold."""
+        if len(text) > self.longest + threshold:
+            return []
         found, todo = [], [self.root] if self.root else []
         while todo:
             node = todo.pop()
