@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from loomwork.functions import extraction as ex
 from loomwork.functions import postings as po
 from loomwork.functions import script
+from loomwork.functions import vocabulary as vo
 from loomwork.functions.instants import wall_micros
 from loomwork.functions.vectors import hamming, simhash
+from loomwork.functions.vocabulary import platform_of
 from loomwork.operators import snapshots as sn
 from loomwork.operators.components import connected_components
 from loomwork.operators.entities import resolve_names
+from loomwork.operators.skills import alignment, coverage, hash_embedding, skills_in, unsupported_claims
 from loomwork.queries import Registry
 from loomwork.session import materialize, table
 from loomwork.sources.feeds import ADAPTERS, normalized_postings, pay_range
@@ -22,6 +25,14 @@ from loomwork.streaming.ingest import drain, windowed_counts
 
 registry = Registry()
 
+#: A small taxonomy and requests for the queries on skills.
+_SKILLS = ["Python", "SQL", "Kotlin", "Rust", "Terraform", "TypeScript"]
+_REQUESTS = {"data": [("Python", True), ("SQL", True), ("Terraform", False)], "apps": [("Kotlin", True), ("TypeScript", False)]}
+
+
+def _taxonomy(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, None) for s in _SKILLS], "canonical_name string, aliases array<string>")
+
 
 @registry.query(sql="""select board, id, arg_max(ingest_id, (fetched_at, ingest_id)) as ingest_id from lever_postings group by 1, 2""")
 def latest_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,3 +207,61 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and type, counted as a watermarked stream."""
     counts = windowed_counts(spark, f"{sf_dir}/events.parquet*", "ts", "event_type")
     return counts.select(F.unix_micros("window_start").alias("day_us"), "event_type", "n")
+
+
+@registry.query(sql="""with d as (select doc_id as doc, text as t from documents where text is not null), s as (select unnest(['Python', 'SQL', 'Kotlin', 'Rust', 'Terraform', 'TypeScript']) as canonical_name)
+select doc, canonical_name from d, s where regexp_matches(lower(t), '(^|[^\\p{L}\\p{N}_+#.])' || lower(canonical_name) || '\\.*($|[^\\p{L}\\p{N}_+#.])')""")
+def skills_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills of a small taxonomy named in each document."""
+    return skills_in(table(spark, sf_dir, "documents"), _taxonomy(spark), "doc_id", "text")
+
+
+@registry.query()
+def skill_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far CVs cover the skills that fixed requests ask for."""
+    wanted = spark.createDataFrame([(q, s, m) for q, ss in _REQUESTS.items() for s, m in ss], "query string, skill string, must boolean")
+    held = skills_in(table(spark, sf_dir, "documents").filter("kind = 'cv'"), _taxonomy(spark), "doc_id", "text").withColumnRenamed("canonical_name", "skill")
+    return coverage(wanted, held)
+
+
+@registry.query()
+def hashed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each evaluation item's closest other item of its suite by hashed embedding."""
+    e = table(spark, sf_dir, "eval_items").filter("suite is not null").select(F.col("suite").alias("query"), "item_id", hash_embedding("text").alias("vec"))
+    asked = e.filter("item_id % 2 = 0").withColumnRenamed("item_id", "item")
+    return alignment(asked, e.filter("item_id % 2 = 1").withColumnRenamed("item_id", "part"))
+
+
+@registry.query()
+def claims_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures, years and credentials that a posting's additional text names and its description doesn't hold."""
+    t = table(spark, sf_dir, "lever_postings").select("ingest_id", unsupported_claims("additionalPlain", "descriptionPlain").alias("c"))
+    return t.select("ingest_id", F.size("c").alias("n_unsupported"), F.array_join("c", ";").alias("claims"))
+
+
+@registry.query()
+def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The platform behind each lever application address."""
+    return table(spark, sf_dir, "lever_postings").select("ingest_id", platform_of(F.col("applyUrl"))["platform"].alias("platform"))
+
+
+@registry.query()
+def arabic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections, level, workplace, employment and years that Arabic documents name."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").filter("lang = 'ar'").select("doc_id", F.array_join(vo.sections_named(t), ",").alias("sections"), vo.label_by_phrase(t, vo.LEVELS).alias("level"),
+        vo.label_by_phrase(t, vo.WORKPLACES).alias("workplace"), vo.label_by_phrase(t, vo.EMPLOYMENTS).alias("employment"), vo.arabic_years(t).alias("years"))
+
+
+@registry.query()
+def places_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City, region, country and remote flag of the places of the greenhouse feed."""
+    hints = {r["country"].lower(): r["country_code"] for r in table(spark, sf_dir, "canon_values").filter("country is not null").select("country", "country_code").distinct().orderBy("country").collect()}
+    p = vo.place_parts(F.col("location.name"), hints)
+    return table(spark, sf_dir, "greenhouse_jobs").select("ingest_id", p["city"].alias("city"), p["region"].alias("region"), p["country"].alias("country"), p["is_remote"].alias("is_remote"))
+
+
+@registry.query()
+def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each CV's text came out: yield, sections, layout and contact."""
+    return table(spark, sf_dir, "documents").filter("kind = 'cv'").select("doc_id", ex.parse_quality(F.col("text")).alias("quality"))

@@ -62,6 +62,23 @@ def smartrecruiters(df: DataFrame) -> DataFrame:
         remote_type=F.when(F.col("location.remote"), "remote"), employment_type=F.col("typeOfEmployment.label"), written_at=F.col("releasedDate"))
 
 
+def recruitee(df: DataFrame) -> DataFrame:
+    """Description and requirements as one HTML body; city and country code as the place unless one is given."""
+    place = F.coalesce(F.nullif(F.trim("location"), F.lit("")), F.nullif(F.concat_ws(", ", "city", "country_code"), F.lit("")))
+    return _posting(df, "recruitee", html_to_text(F.concat_ws("\n", "description", "requirements")), external_id=F.col("id"), title=F.col("title"), location=place,
+        remote_type=F.when(F.col("remote"), "remote"), employment_type=F.col("employment_type_code"), url=F.col("careers_url"),
+        apply_url=F.coalesce("careers_apply_url", "careers_url"), written_at=F.coalesce("published_at", "created_at"))
+
+
+def with_details(postings: DataFrame, details: DataFrame) -> DataFrame:
+    """Postings with empty bodies filled from (external_id, sections array<struct<title, text>>) fetched later; a body that is there is never blanked."""
+    body = F.array_join(F.transform(F.filter("sections", lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != ""), lambda s: F.concat_ws("\n", s["title"], s["text"])), "\n\n")
+    late = details.select("external_id", body.alias("__late")).dropDuplicates(["external_id"])
+    joined = postings.join(late, "external_id", "left")
+    filled = F.when(F.trim(F.coalesce("description", F.lit(""))) == "", F.coalesce(F.nullif("__late", F.lit("")), "description")).otherwise(F.col("description"))
+    return joined.withColumn("description", filled).select(*postings.columns)
+
+
 #: Adapters by feed, with the table each reads.
 ADAPTERS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "greenhouse": ("greenhouse_jobs", greenhouse), "lever": ("lever_postings", lever), "ashby": ("ashby_jobs", ashby),
