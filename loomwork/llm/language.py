@@ -31,6 +31,8 @@ NAMES = {
 WINDOW = 96
 #: Labelled rows (about) on which the network is fitted, chosen by a hash of their id: the bound of the training sample.
 FIT_ROWS = 6_000
+#: Characters up to which a labelled row may serve for fitting, so that the sample is bounded in bytes too.
+FIT_CHARS = 50_000
 #: Log-odds for another language, summed over a line's windows, that make a line leave its document's language.
 LEAVE = 2.0
 
@@ -232,11 +234,13 @@ def decide(scores: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float
 
 
 def fit_network(labelled: DataFrame, id_col: str, content_col: str, label_col: str, rows: int = FIT_ROWS) -> ByteConv:
-    """A network trained on about `rows` rows whose label names one of LANGUAGES, chosen by a hash of their id.
+    """A network trained on about `rows` rows whose label names one of LANGUAGES, chosen by a hash of their id among those of at most FIT_CHARS characters.
 
     Wrong labels among them are outvoted: lines that a first, short fit puts elsewhere are left out of the second. Without labelled rows the network is untrained.
     """
-    known = labelled.select(id_col, F.col(content_col).alias("c"), label_language(F.col(label_col)).alias("l")).filter("l is not null and c is not null")
+    known = labelled.select(id_col, F.col(content_col).alias("c"), label_language(F.col(label_col)).alias("l")).filter(
+        F.col("l").isNotNull() & (F.length("c") <= FIT_CHARS)
+    )
     n = known.count()
     share = min(1.0, rows / max(1, n))
     sample = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).select("c", "l").toPandas()

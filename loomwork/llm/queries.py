@@ -51,7 +51,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-@registry.query()
+_P9 = r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
+dg as (select doc_id, array_to_string(w[k:k + 11], ' ') as g from d, unnest(range(1, len(w) - 10)) as t(k)),
+ig as (select item_id, array_to_string(w[k:k + 11], ' ') as g from i, unnest(range(1, len(w) - 10)) as t(k))
+select distinct doc_id, item_id from dg join ig using (g)"""
+
+
+@registry.query(sql=_P9)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents holding at least 12 consecutive words of an evaluation item."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -83,7 +90,14 @@ def board_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select("board", F.col(c).alias("posting")) for t, c in pairs])
 
 
-@registry.query()
+_P7 = r"""with l as (select board, id as posting, unnest(regexp_split_to_array(coalesce(descriptionPlain, '') || chr(10) || coalesce(additionalPlain, ''), '\r\n|\r|\n')) as line from lever_postings
+union all select board, shortcode, replace(replace(replace(replace(replace(replace(replace(regexp_replace(unnest(regexp_split_to_array(description, '(?i)</?(?:p|div|ul|li|h3|br)\b[^>]*>')), '<[^>]*>', '', 'g'),
+'&nbsp;', chr(160)), '&#x27;', chr(39)), '&#39;', chr(39)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') from workable_jobs),
+n as (select board, posting, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]+', ' ', 'g')) as line from l)
+select board, line from n where line <> '' and board is not null group by 1, 2 having count(distinct posting) >= 8"""
+
+
+@registry.query(sql=_P7)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stand in at least 8 distinct postings of one board."""
     lines = board_lines(spark, sf_dir)
@@ -138,7 +152,14 @@ def _alike_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return near_copy_classes(lever.unionByName(ashby), "ingest_id", "title", "descriptionPlain", width=3, threshold=0.6, min_words=20)
 
 
-@registry.query()
+_P6 = r"""with t as (select ingest_id, text as title, descriptionPlain as body from lever_postings union all select ingest_id, title, descriptionPlain from ashby_jobs),
+p as (select ingest_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || body), '[\p{L}\p{N}]+') as w from t where len(regexp_extract_all(lower(body), '[\p{L}\p{N}]+')) >= 20),
+s as (select distinct ingest_id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] as g from p, unnest(range(1, len(w) - 1)) as r(k)), c as (select ingest_id, count(*) as n from s group by 1),
+m as (select a.ingest_id as id_a, b.ingest_id as id_b, count(*) as k from s a join s b using (g) where a.ingest_id < b.ingest_id group by 1, 2)
+select id_a, id_b from m join c x on x.ingest_id = id_a join c y on y.ingest_id = id_b where k >= 0.6 * (x.n + y.n - k)"""
+
+
+@registry.query(sql=_P6)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of alike postings, within or across the two feeds."""
     return near_copy_pairs(*_alike_postings(spark, sf_dir))

@@ -22,6 +22,8 @@ from loomwork.llm.words import PieceMemo, hash64, mix
 
 #: Records (about) on which the model is fitted, chosen by a hash of their id: the bound of the training sample.
 FIT_RECORDS = 8_000
+#: Characters up to which a record may serve for fitting, so that the sample is bounded in bytes too.
+FIT_CHARS = 50_000
 #: Features are hashed to so many bits.
 FEATURE_BITS = 18
 #: Words of a sub-passage: longer passages are also scored in all their runs of so many words.
@@ -208,8 +210,8 @@ class Residue:
 
 
 def fit_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", records: int = FIT_RECORDS) -> Residue:
-    """A model fitted on about `records` records chosen by a hash of their id. Without texts it calls nothing residue."""
-    some = docs.filter(F.col(text_col).isNotNull())
+    """A model fitted on about `records` records chosen by a hash of their id among those of at most FIT_CHARS characters. Without texts it calls nothing residue."""
+    some = docs.filter(F.length(text_col) <= FIT_CHARS)
     share = min(1.0, records / max(1, some.count()))
     if share < 1:
         some = some.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
