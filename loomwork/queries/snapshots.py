@@ -11,12 +11,14 @@ from loomwork.functions import extraction as ex
 from loomwork.functions import postings as po
 from loomwork.functions import script
 from loomwork.functions import vocabulary as vo
-from loomwork.functions.instants import wall_micros
-from loomwork.functions.vectors import hamming, simhash
+from loomwork.functions.instants import utc_micros, wall_micros
+from loomwork.functions.text import blank_to_null
+from loomwork.functions.vectors import simhash
 from loomwork.functions.vocabulary import platform_of
 from loomwork.operators import snapshots as sn
-from loomwork.operators.components import connected_components
-from loomwork.operators.entities import resolve_names
+from loomwork.operators.clusters import cluster_postings
+from loomwork.operators.entities import company_key, resolve_names
+from loomwork.operators.joins import lookup_join
 from loomwork.operators.skills import alignment, coverage, hash_embedding, skills_in, unsupported_claims
 from loomwork.queries import Registry
 from loomwork.session import materialize, table
@@ -34,6 +36,11 @@ def _taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, None) for s in _SKILLS], "canonical_name string, aliases array<string>")
 
 
+def _country_hints(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Names of the countries of canon_values and their codes."""
+    return {r["country"].lower(): r["country_code"] for r in table(spark, sf_dir, "canon_values").filter("country is not null").select("country", "country_code").distinct().orderBy("country").collect()}
+
+
 @registry.query(sql="""select board, id, arg_max(ingest_id, (fetched_at, ingest_id)) as ingest_id from lever_postings group by 1, 2""")
 def latest_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest delivery of every lever posting."""
@@ -109,19 +116,17 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query()
 def posting_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the latest lever and ashby postings: the same title head and company within a Hamming distance of 3, as connected components, with their longest member."""
-    posts = normalized_postings(spark, sf_dir, ["lever", "ashby"])
-    prints = materialize(posts.select("ingest_id", po.title_head(F.col("title_normalized"), 3).alias("head"), F.length("description").alias("len"), simhash("description").alias("print")).filter("len >= 400"), "fingerprints")
-    # Equal fingerprints meet once; others meet within the block in one of four equal quarters of 16 bits, as at most 3 bits differ.
-    reps = prints.groupBy("head", "print").agg(F.min("ingest_id").alias("rep"))
-    quarters = F.array(*[F.shiftrightunsigned("print", 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)])
-    keyed = reps.select("head", "print", "rep", F.posexplode(quarters).alias("q", "key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = (F.col("a.head") == F.col("b.head")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep"))
-    near = a.join(b, same).filter(hamming(F.col("a.print"), F.col("b.print")) <= 3).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst")).distinct()
-    groups = connected_components(near)
-    member = prints.join(reps, ["head", "print"]).join(groups, F.col("rep") == F.col("node"), "left").select("ingest_id", "len", F.coalesce("component", "rep").alias("cluster"))
-    return member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members"), F.min_by("ingest_id", F.struct((-F.col("len")).alias("l"), "ingest_id")).alias("canonical_id"))
+    """Every lever and ashby posting with its cluster of the same job, the cluster's size and canonical member, and the rule that brought it there; re-deliveries share a cluster."""
+    posts = normalized_postings(spark, sf_dir, ["lever", "ashby"], keep=["board"])
+    sources = table(spark, sf_dir, "job_sources").select(F.col("name").alias("board"), company_key("company_name").alias("company"), "tier", "tz_name", "date_order")
+    p, address = vo.place_parts(F.col("location"), _country_hints(spark, sf_dir)), F.coalesce(blank_to_null(F.col("apply_url")), F.col("url"))
+    rows = lookup_join(posts, sources, "board").select(
+        "ingest_id", F.concat_ws("/", "source", "board").alias("source"), "external_id", F.nullif(po.canonical_url(address), F.lit("")).alias("url_key"),
+        F.coalesce(F.nullif("company", F.lit("")), F.lit("?")).alias("company"), F.col("title_normalized").alias("title"), po.title_head(F.col("title_normalized"), 3).alias("head"),
+        F.coalesce(F.lower(F.coalesce(p["city"], p["country"])), F.lit("")).alias("location"), F.coalesce(F.length("description"), F.lit(0)).alias("len"), simhash("description").alias("print"),
+        F.coalesce(F.col("tier") == 1, F.lit(False)).alias("native"), F.coalesce(utc_micros(F.col("written_at"), F.col("tz_name"), F.col("date_order")), F.lit(2**63 - 1)).alias("posted_us"),
+    )
+    return cluster_postings(materialize(rows, "candidates"))
 
 
 _HOST = r"nullif(regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), '')"
@@ -256,8 +261,7 @@ def arabic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query()
 def places_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City, region, country and remote flag of the places of the greenhouse feed."""
-    hints = {r["country"].lower(): r["country_code"] for r in table(spark, sf_dir, "canon_values").filter("country is not null").select("country", "country_code").distinct().orderBy("country").collect()}
-    p = vo.place_parts(F.col("location.name"), hints)
+    p = vo.place_parts(F.col("location.name"), _country_hints(spark, sf_dir))
     return table(spark, sf_dir, "greenhouse_jobs").select("ingest_id", p["city"].alias("city"), p["region"].alias("region"), p["country"].alias("country"), p["is_remote"].alias("is_remote"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,12 +86,21 @@ ADAPTERS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
-def normalized_postings(spark: SparkSession, sf_dir: str, feeds: list[str] | None = None) -> DataFrame:
-    """The postings of some or all feeds in one schema. An unknown feed raises."""
+def normalized_postings(spark: SparkSession, sf_dir: str, feeds: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The postings of some or all feeds in one schema, with columns that the feeds' tables share and `keep` names. An unknown feed raises."""
     names = feeds or list(ADAPTERS)
     if unknown := set(names) - ADAPTERS.keys():
         raise ValueError(f"unknown feeds: {sorted(unknown)}")
-    return reduce(DataFrame.unionByName, [ADAPTERS[n][1](table(spark, sf_dir, ADAPTERS[n][0])) for n in names])
+
+    def made(name: str) -> DataFrame:
+        source, adapter = ADAPTERS[name]
+        rows = table(spark, sf_dir, source)
+        if not keep:
+            return adapter(rows)
+        carried = adapter(rows.withColumn("ingest_id", F.struct("ingest_id", *keep)))  # what identifies a row passes an adapter as it is
+        return carried.withColumns({c: F.col("ingest_id")[c] for c in keep} | {"ingest_id": F.col("ingest_id.ingest_id")})
+
+    return reduce(DataFrame.unionByName, [made(n) for n in names])
 
 
 def pay_range(df: DataFrame) -> DataFrame:
