@@ -154,8 +154,8 @@ _AR = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{
 select doc_id, a::bigint as n_arabic, l::bigint as n_latin, case when t is null then null when a > 0.20 * (a + l) then 'ar' else 'en' end as script_lang from n""")
 def script_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arabic and Latin letters at the head of every document, and the language they suggest."""
-    arabic, latin = script.script_counts(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", arabic.cast("bigint").alias("n_arabic"), latin.cast("bigint").alias("n_latin"), script.script_language(F.col("text")).alias("script_lang"))
+    arabic, latin = script.script_counts(F.col("text"), script.SHARE_CHARS)
+    return table(spark, sf_dir, "documents").select("doc_id", arabic.cast("bigint").alias("n_arabic"), latin.cast("bigint").alias("n_latin"), script.script_language(F.col("text"), script.SHARE_CHARS).alias("script_lang"))
 
 
 @registry.query()

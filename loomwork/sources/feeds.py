@@ -23,7 +23,7 @@ def _posting(df: DataFrame, source: str, body: Column, **cols: Column) -> DataFr
         F.lit(source).alias("source"), known["external_id"].cast("string").alias("external_id"), "ingest_id", title.alias("title"),
         normalize_title(title).alias("title_normalized"), F.col("__body").alias("description"), known["location"].alias("location"),
         F.coalesce(known["remote_type"], workplace(title, known["location"])).alias("remote_type"), employment(known["employment_type"]).alias("employment_type"),
-        seniority(title, F.col("__body")).alias("seniority"), script_language(F.concat_ws(" ", title, F.substring("__body", 1, 2000))).alias("language"),
+        seniority(title, F.col("__body")).alias("seniority"), script_language(F.concat_ws(" ", title, F.col("__body"))).alias("language"),
         known["url"].alias("url"), known["apply_url"].alias("apply_url"), known["written_at"].alias("written_at"),
     )
     return made.select(*POSTING)

@@ -28,6 +28,13 @@ def test_posting_schema(spark):
         feeds.normalized_postings(spark, SF, ["nowhere"])
 
 
+def test_language_of_the_whole_body(spark):
+    schema = "ingest_id long, id string, title string, location string, isRemote boolean, employmentType string, publishedAt string, jobUrl string, applyUrl string, descriptionPlain string"
+    late = "We offer free lunch. " * 250 + "نبحث عن مهندس بيانات خبير " * 250
+    df = spark.createDataFrame([(1, "a", "Engineer", None, None, None, None, None, None, late), (2, "b", "Engineer", None, None, None, None, None, None, late[:5000])], schema)
+    assert [r["language"] for r in feeds.ashby(df).orderBy("ingest_id").collect()] == ["ar", "en"]
+
+
 def test_pay_range(spark):
     schema = "ingest_id int, compensation struct<compensationTiers:array<struct<components:array<struct<compensationType:string,minValue:double,maxValue:double,currencyCode:string>>>>>"
     data = [(1, ([([("Equity", 1.0, None, "x")],), (None,), ([("Salary", None, 9.0, "eur")],)],)), (2, None), (3, ([],))]
