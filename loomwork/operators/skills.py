@@ -122,11 +122,15 @@ def coverage(wanted: DataFrame, held: DataFrame) -> DataFrame:
     return both.select("query", "doc", F.round(F.col("hit") / F.col("total"), 4).alias("coverage"), names(F.col("have")).alias("matched"), names(F.array_except("all", "have")).alias("missing"))
 
 
-def alignment(asked: DataFrame, offered: DataFrame, met: float = 0.72, partial: float = 0.55) -> DataFrame:
-    """(query, item, best, similarity, status): for each wanted (query, item, vec) the closest (query, part, vec) of the same query by cosine, at least 0, ties to the first part."""
+def alignment(asked: DataFrame, offered: DataFrame, met: float = 0.72, partial: float = 0.55, others_only: bool = False) -> DataFrame:
+    """(query, item, best, similarity, status): for each wanted (query, item, vec) the closest (query, part, vec) of the same query by cosine, at least 0, ties to the first part.
+
+    With `others_only` both sides are the same items and none is its own part; an item that is alone in its query has no best, similarity 0.0 and is unmet.
+    """
     pairs = asked.select("query", "item", F.col("vec").alias("u")).join(offered.select("query", "part", F.col("vec").alias("v")), "query")
     scored = pairs.select("query", "item", "part", F.greatest(F.lit(0.0), cosine(F.col("u"), F.col("v"))).alias("s"))
-    best = scored.groupBy("query", "item").agg(F.max("s").alias("similarity"), F.min_by("part", F.struct((-F.col("s")).alias("n"), "part")).alias("best"))
+    counts = F.col("item") != F.col("part") if others_only else F.lit(True)
+    best = scored.groupBy("query", "item").agg(F.coalesce(F.max(F.when(counts, F.col("s"))), F.lit(0.0)).alias("similarity"), F.min_by("part", F.when(counts, F.struct((-F.col("s")).alias("n"), "part"))).alias("best"))
     status = F.when(F.col("similarity") >= met, "met").when(F.col("similarity") >= partial, "partial").otherwise("unmet")
     return best.select("query", "item", "best", F.round("similarity", 4).alias("similarity"), status.alias("status"))
 

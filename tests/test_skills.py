@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import extraction as ex
 from loomwork.functions import vocabulary as vo
 from loomwork.operators import skills as sk
+from loomwork.queries import snapshots
 from loomwork.sources import feeds
 from tests.conftest import rows
 
@@ -71,3 +72,13 @@ def test_late_details_and_offers(spark):
     schema = "ingest_id int, id int, title string, description string, requirements string, careers_url string, careers_apply_url string, city string, country_code string, location string, remote boolean, employment_type_code string, published_at string, created_at string"
     row = feeds.recruitee(spark.createDataFrame([(1, 5, "Chef", "<p>a</p>", "b", "u", None, "Rome", "IT", None, True, "fulltime", None, "2025")], schema)).first()
     assert (row["external_id"], row["description"], row["location"], row["remote_type"], row["employment_type"], row["apply_url"], row["written_at"]) == ("5", "a\n\nb", "Rome, IT", "remote", "full_time", "u", "2025")
+
+
+def test_every_item_against_every_other_of_its_suite(spark):
+    vecs = [("q", 2, [1.0, 0.0]), ("q", 4, [1.0, 0.1]), ("q", 5, [0.0, 1.0]), ("lone", 8, [1.0, 0.0])]
+    items = spark.createDataFrame(vecs, "query string, item int, vec array<double>")
+    got = [tuple(r) for r in sk.alignment(items, items.withColumnRenamed("item", "part"), others_only=True).orderBy("item").collect()]
+    assert got == [("q", 2, 4, 0.995, "met"), ("q", 4, 2, 0.995, "met"), ("q", 5, 4, 0.0995, "unmet"), ("lone", 8, None, 0.0, "unmet")]
+    e = spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet").filter("suite is not null")
+    found = snapshots.hashed_alignment(spark, "/root/testdata/sf0.001")
+    assert rows(found.select("item")) == rows(e.select("item_id")) and found.filter("item = best").count() == 0
