@@ -82,3 +82,10 @@ def test_every_item_against_every_other_of_its_suite(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet").filter("suite is not null")
     found = snapshots.hashed_alignment(spark, "/root/testdata/sf0.001")
     assert rows(found.select("item")) == rows(e.select("item_id")) and found.filter("item = best").count() == 0
+
+
+def test_arabic_documents_by_content(spark, tmp_path):
+    arabic = "المسمى الوظيفي مدير مشاريع"
+    docs = [(1, arabic, "ar"), (2, arabic, None), (3, arabic, "en"), (4, "We look for a cook", "ar"), (5, "Free lunch. " * 400 + arabic * 200, "en"), (6, None, "ar")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(snapshots.arabic_fields(spark, str(tmp_path)).select("doc_id")) == [(1,), (2,), (3,), (5,)]
