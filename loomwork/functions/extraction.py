@@ -20,7 +20,7 @@ CV_HEADING = re.compile(
     r"^\s*(experience|employment|work history|education|skills|projects|certifications|summary|profile|about|languages|الخبرة|الخبرات|التعليم|المهارات|المشاريع|اللغات)\s*:?\s*$",
     re.I,
 )
-BULLET_CHARS = (25, 600)
+LEAST_BULLET = 25
 MUST = re.compile(r"\b(?:must[- ]have|required|requirement|essential|minimum|at least|proven|strong (?:experience|background)|you (?:have|will need)|we require|مطلوب|يشترط)\b", re.I)
 NICE = re.compile(r"\b(?:nice[- ]to[- ]have|preferred|plus|bonus|desirable|advantage|ideally|would be great|يفضل)\b", re.I)
 YEARS = re.compile(r"\b(\d{1,2})\s*\+?\s*(?:-\s*\d{1,2}\s*)?(?:years?|yrs?|سنوات|سنة)\b", re.I)
@@ -34,7 +34,7 @@ JOB_HEADING = re.compile(
     r"^\s*(requirements?|qualifications?|what you.{0,12}(?:bring|need|have)|who you are|about you|skills?|must have|nice to have|responsibilities|المؤهلات|المتطلبات)\s*:?\s*$",
     re.I,
 )
-REQUIREMENT_CHARS, MOST_REQUIREMENTS = (15, 400), 30
+REQUIREMENT_CHARS = (15, 400)
 # Forms of personal data, in the order in which they are replaced.
 PERSONAL = [
     ("EMAIL", re.compile(r"[\w.+-]+@[\w-]+\.[\w.]{2,}")),
@@ -74,8 +74,8 @@ def bullets_of(text: str | None) -> list[tuple[str, int, int, str | None]]:
         nonlocal begin
         if begin is not None:
             body = (text or "")[begin:end].strip()
-            if len(body) >= BULLET_CHARS[0]:
-                found.append((body[: BULLET_CHARS[1]], begin, end, section))
+            if len(body) >= LEAST_BULLET:
+                found.append((body, begin, end, section))
         begin = None
 
     for at, line in _lines(text or ""):
@@ -106,7 +106,7 @@ def requirement_kind(text: str) -> str:
 
 
 def requirements_of(text: str | None) -> list[tuple[str, str, bool, int, int]]:
-    """(text, kind, must have, start, end): lines under requirement headings or that say so themselves, at most 30."""
+    """(text, kind, must have, start, end): lines under requirement headings or that say so themselves."""
     found: list[tuple[str, str, bool, int, int]] = []
     must: bool | None = None  # what the last heading says; None outside requirements
     for at, line in _lines(text or ""):
@@ -122,8 +122,6 @@ def requirements_of(text: str | None) -> list[tuple[str, str, bool, int, int]]:
             continue
         start = at + line.index(bare)
         found.append((bare, requirement_kind(bare), says_must or (bool(must) and not says_nice), start, start + len(bare)))
-        if len(found) == MOST_REQUIREMENTS:
-            break
     return found
 
 

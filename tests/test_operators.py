@@ -172,3 +172,12 @@ def test_extraction(spark):
     df = spark.createDataFrame([(cv,), (None,), ("",)], "t string")
     assert [len(r[0]) for r in df.select(ex.bullets("t")).collect()] == [2, 0, 0]
     assert df.select(ex.requirements("t"), ex.min_years("t"), ex.redact("t"), ex.find_span("t", F.lit("pipeline"))).count() == 3
+
+
+def test_extraction_of_long_texts_is_whole(spark):
+    job = "Requirements\n" + "\n".join(f"- At least {i} years of plumbing" for i in range(1, 46))
+    assert len(ex.requirements_of(job)) == 45
+    (body, start, end, _), = ex.bullets_of("- " + "kept the line running " * 50)
+    assert len(body) == end - start > 1000
+    docs = spark.createDataFrame([(job,)], "t string")
+    assert docs.select(F.size(ex.requirements("t"))).first()[0] == 45
