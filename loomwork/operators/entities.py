@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -58,23 +60,31 @@ def name_similarity(a: str, b: str) -> float:
     return min(ratio(" ".join(p), " ".join(q)), as_sets)
 
 
+_letters = lru_cache(100_000)(Counter)
+
+
+def most_similar(a: str, b: str) -> float:
+    """An upper bound of name_similarity: the letters that both have, in any order, as a share."""
+    return 2 * (_letters(a) & _letters(b)).total() / (len(a) + len(b)) if a or b else 1.0
+
+
 def resolve_names(refs: DataFrame, directory: DataFrame, sure: float = 0.90, unsure: float = 0.75) -> DataFrame:
     """(name, key, company_id, method, confidence) of distinct names of `refs` against `directory` (company_id, name).
 
-    The comparable form decides first; others are compared with the companies that share a rare-enough word of
-    theirs. From `sure` the closest company is taken (fuzzy) unless one name's words are a proper part of the other's; from
+    The comparable form decides first; others are compared with every company of the directory, as a misspelt name need share
+    no whole word with the right one; without a common word the comparison ends where the letters alone rule `unsure` out. From `sure` the closest company is taken (fuzzy) unless one name's words are a proper part of the other's; from
     `unsure` it goes to review with the id; below it is new with none. Blank names are left out; ties go to the smaller id.
     """
     known = directory.filter(F.col("name").isNotNull()).select("company_id", company_key("name").alias("key")).filter("key != ''").groupBy("key").agg(F.min("company_id").alias("company_id"))
     names = refs.select("name").distinct().select("name", company_key("name").alias("key")).filter("key != ''")
     exact = names.join(known, "key").select("name", "key", "company_id", F.lit("alias").alias("method"), F.lit(1.0).alias("confidence"))
     rest = names.join(known.select("key"), "key", "left_anti")
-    words = known.select("company_id", F.col("key").alias("other"), F.explode(F.array_distinct(F.split("key", " "))).alias("word"))
-    pairs = rest.select("name", "key", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).join(words, "word").drop("word").distinct()
+    tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the few names that are left may stand in one partition
+    pairs = rest.crossJoin(known.select("company_id", F.col("key").alias("other"))).repartition(tasks)
 
     @pandas_udf(DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([name_similarity(x, y) for x, y in zip(a, b, strict=True)])
+        return pd.Series([name_similarity(x, y) if set(x.split()) & set(y.split()) or most_similar(x, y) >= unsure else 0.0 for x, y in zip(a, b, strict=True)])
 
     scored = pairs.withColumn("confidence", score("key", "other"))
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy(F.col("confidence").desc(), "company_id"))).filter("n = 1")

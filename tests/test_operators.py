@@ -181,3 +181,10 @@ def test_extraction_of_long_texts_is_whole(spark):
     assert len(body) == end - start > 1000
     docs = spark.createDataFrame([(job,)], "t string")
     assert docs.select(F.size(ex.requirements("t"))).first()[0] == 45
+
+
+def test_misspelt_names_without_a_common_word(spark):
+    known = spark.createDataFrame([(1, "Bogosekuoptics Inc"), (2, "Northern Light Systems"), (3, "Vabolise")], "company_id int, name string")
+    refs = spark.createDataFrame([("Bogosekuoptisc",), ("Nothern Ligth Sytems",), ("Quite Other",)], "name string")
+    got = {r["name"]: (r["company_id"], r["method"]) for r in resolve_names(refs, known).collect()}
+    assert got == {"Bogosekuoptisc": (1, "fuzzy"), "Nothern Ligth Sytems": (2, "fuzzy"), "Quite Other": (None, "new")}
