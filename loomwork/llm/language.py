@@ -14,9 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.words import bounded_sample
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ar", "nl")
 #: Codes and names under which a language is written, folded.
 NAMES = {
@@ -32,7 +35,7 @@ WINDOW = 96
 #: Labelled rows (about) on which the network is fitted, chosen by a hash of their id: the bound of the training sample.
 FIT_ROWS = 6_000
 #: Characters up to which a labelled row may serve for fitting, so that the sample is bounded in bytes too.
-FIT_CHARS = 50_000
+FIT_CHARS = 20_000
 #: Log-odds for another language, summed over a line's windows, that make a line leave its document's language.
 LEAVE = 2.0
 
@@ -158,6 +161,10 @@ class ByteConv:
                 b += 0.001 * (g * g - b)
                 p -= (rate * (1 - t / (steps + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
+    def digest(self) -> str:
+        """A name of these weights, all of them."""
+        return xxhash.xxh3_128_hexdigest(b"".join(p.tobytes() for p in (self.emb, *self.banks.values(), *self.bias.values(), self.out, self.out_bias)))
+
     def tables(self) -> Tables:
         return Tables(self)
 
@@ -234,18 +241,14 @@ def decide(scores: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float
 
 
 def fit_network(labelled: DataFrame, id_col: str, content_col: str, label_col: str, rows: int = FIT_ROWS) -> ByteConv:
-    """A network trained on about `rows` rows whose label names one of LANGUAGES, chosen by a hash of their id among those of at most FIT_CHARS characters.
+    """A network trained on about `rows` rows whose label names one of LANGUAGES, chosen by a hash of their id, without those beyond FIT_CHARS characters.
 
     Wrong labels among them are outvoted: lines that a first, short fit puts elsewhere are left out of the second. Without labelled rows the network is untrained.
     """
-    known = labelled.select(id_col, F.col(content_col).alias("c"), label_language(F.col(label_col)).alias("l")).filter(
-        F.col("l").isNotNull() & (F.length("c") <= FIT_CHARS)
-    )
-    n = known.count()
-    share = min(1.0, rows / max(1, n))
-    sample = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).select("c", "l").toPandas()
+    known = labelled.select(id_col, F.col(content_col).alias("c"), label_language(F.col(label_col)).alias("l")).filter("l is not null")
+    sample = bounded_sample(known, id_col, "c", rows, FIT_CHARS, "l")
     lines, labels = [], []
-    for content, label in zip(sample["c"], sample["l"], strict=True):
+    for content, label, _ in sample:
         got = html_content_lines(content)
         lines += got
         labels += [LANGUAGES.index(label)] * len(got)
@@ -278,7 +281,7 @@ def identify(docs: DataFrame, net: ByteConv, id_col: str = "ingest_id", label_co
     out = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{label_col}` string, seg int, lang string, confidence double, share double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = str(shared.value.emb.tobytes()[:64])
+        key = shared.value.digest()
         if key not in _tables:
             _tables.clear()
             _tables[key] = shared.value.tables()

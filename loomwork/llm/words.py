@@ -13,6 +13,8 @@ from itertools import chain
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 #: Distinct pieces remembered by a worker; at the bound the memory is emptied, results don't change.
@@ -75,3 +77,28 @@ def windows(flat: np.ndarray, width: int) -> np.ndarray:
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += flat[j : j + n]
     return mix(h)
+
+
+def sampled(docs: DataFrame, id_col: str, rows: int, total: int | None = None) -> DataFrame:
+    """About `rows` rows chosen by a hash of their id, from a table of any size; all of a smaller one. Rows without an id take no part.
+
+    `total` spares the count, which otherwise reads the ids only.
+    """
+    known = docs.filter(F.col(id_col).isNotNull())
+    n = known.count() if total is None else total
+    if n <= rows:
+        return known
+    # Shares are cut to units of 2**-62: rows remain at any size that can be counted.
+    return known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 62)) < F.lit((1 << 62) * rows // n))
+
+
+def bounded_sample(docs: DataFrame, id_col: str, text_col: str, rows: int, most_chars: int, *others: str) -> list[Row]:
+    """(text, *others) of about `rows` sampled rows, in the order of their hash, without null texts and those beyond `most_chars` characters.
+
+    At most about rows * most_chars characters reach the driver. A table without texts gives an empty list; it is an error if there are texts but none in the sample.
+    """
+    fit = sampled(docs, id_col, rows).filter(F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
+    found = fit.select(text_col, *others, F.xxhash64(id_col).alias("__order")).orderBy("__order", text_col).collect()
+    if not found and not docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).isEmpty():
+        raise ValueError(f"no text of at most {most_chars} characters among about {rows} sampled rows")
+    return found

@@ -4,15 +4,17 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import repeated_lines as rl
+from loomwork.llm import residue
 from loomwork.llm.canonical import BKTree, Reference, compact, distance, map_values
 from loomwork.llm.leakage import find_leaks, tile
 from loomwork.llm.near_copies import _manhattan, near_copy_classes, near_copy_groups, near_copy_pairs
 from loomwork.llm.residue import Residue, mark, passages, score_records, trusted
-from loomwork.llm.words import WordHasher, hash64, windows
+from loomwork.llm.words import WordHasher, bounded_sample, hash64, sampled, windows
 from tests.conftest import rows
 
 WORD = re.compile(r"[^\W_]+")
@@ -187,7 +189,7 @@ def test_html_lines():
 # Residue
 
 
-@pytest.mark.parametrize("text", ["About us: {{ team }}", "Ihr Gehalt: [GEHALT TBC].", "Dear __FIRST_NAME__, thank you for ${x_y}.", "Lorem ipsum dolor velit magna.", "xxx xxx xxx xxx", "404 Not Found", "Please enable JavaScript to view this job.", "TODO: write the text"])
+@pytest.mark.parametrize("text", ["About us: {{ team }}", "Ihr Gehalt: [GEHALT TBC].", "Dear __FIRST_NAME__, thank you for ${x_y}.", "Lorem ipsum dolor velit magna.", "HTTP Error 502", "xxx xxx xxx xxx", "404 Not Found", "Please enable JavaScript to view this job.", "TODO: write the text"])
 def test_trusted_forms(text):
     assert any(map(trusted, passages(mark(text))))
 
@@ -205,5 +207,41 @@ def test_model_learns_what_goes_with_trusted_passages(spark):
     df = spark.createDataFrame(cases, "doc_id int, text string").withColumn("score", F.lit("clash"))
     got = score_records(df, model).collect()
     assert [(r["doc_id"], r["is_residue"]) for r in got] == [(1, True), (2, True), (3, False), (4, False), (5, False), (6, False), (3, False), (7, True)]
-    assert got[3]["score"] is None and Residue.fit([]).prior < 0
-    assert rows(score_records(df.limit(0), model)) == []
+    assert got[3]["score"] is None and rows(score_records(df.limit(0), model)) == []
+    for none in (Residue.fit([]), Residue.fit(["", " "]), Residue.fit(plain)):
+        assert not any(r["is_residue"] for r in score_records(df, none).collect())
+
+
+FAMILIES = {
+    "scripts": r"javascript|cookies|browser|scripts",
+    "filler": r"text goes|sample text|your content|todo|blindtext|texte à",
+    "errors": r"error|fehler|erreur|fout|erro|خطأ|\b[45]\d\d\b|denied|wrong|requests|not found",
+    "German and Dutch": r"fehler|bitte|aktivieren|diese|fout|schakel|deze|blindtext",
+}
+
+
+@pytest.mark.parametrize("family", FAMILIES)
+def test_wordings_left_out_of_the_forms_are_found(monkeypatch, family):
+    """Forms without a whole family of wordings, or two languages: the model finds much of it by its company."""
+    texts = [t for t in pd.read_parquet("/root/testdata/sf0.1/documents.parquet")["text"] if isinstance(t, str)]
+    held = re.compile(FAMILIES[family], re.I)
+    found_forms = [[p for p in passages(mark(t)) if trusted(p)] for t in texts]
+    surely = np.array([bool(f) for f in found_forms])
+    unseen = np.array([bool(f) and all(held.search(p) for p in f) for f in found_forms])
+    monkeypatch.setattr(residue, "trusted", lambda p: trusted(p) and not held.search(p))
+    model = Residue.fit(texts)
+    found = model.best(*residue.Featurizer()(texts)) >= model.limit
+    print(family, surely.sum(), unseen.sum(), found[surely].mean(), found[unseen].mean(), found.sum())
+    assert unseen.sum() > 40 and found[surely].mean() >= 0.9 and found[unseen].mean() >= 0.3 and found.sum() <= 1.25 * surely.sum()
+
+
+def test_samples_hold_rows_at_any_size(spark):
+    df = spark.range(200_000).select(F.col("id"), F.lit("t").alias("text"))
+    few = sampled(df, "id", 20_000, total=2_000_000).count()
+    assert 1_700 < few < 2_300 and sampled(df.limit(0), "id", 5).count() == 0
+    # Among 1e11 rows, about 8,000 have a hash in this share; the filter itself must not be empty.
+    plan = sampled(df, "id", 8_000, total=10**11)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"< {(1 << 62) * 8_000 // 10**11}" in plan
+    assert [r["text"] for r in bounded_sample(df.limit(3), "id", "text", 5, 10)] == ["t"] * 3
+    with pytest.raises(ValueError, match="no text"):
+        bounded_sample(df.limit(3), "id", "text", 5, 0)
