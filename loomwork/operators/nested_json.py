@@ -8,6 +8,7 @@ only where a child row needs them.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -203,31 +204,31 @@ class Reader:
         self.ix = ix
         values = np.flatnonzero(ix.is_value & ix.valid[ix.doc]) if len(ix.doc) else np.zeros(0, np.int64)
         order = np.argsort(ix.container[values], kind="stable")
-        self.values, self.holders = values[order], ix.container[values][order]
-        self.roots = {int(ix.doc[t]): int(t) for t in values[ix.container[values] < 0]}
-
-    def children(self, t: int) -> np.ndarray:
-        lo, hi = np.searchsorted(self.holders, [t, t + 1])
-        return self.values[lo:hi]
+        values, holders = values[order], ix.container[values][order]
+        self.roots = {int(ix.doc[t]): int(t) for t in values[holders < 0]}
+        cuts = np.flatnonzero(np.r_[True, np.diff(holders) != 0, True]) if len(values) else np.zeros(1, np.int64)
+        ordered = values.tolist()
+        self._children = {int(holders[lo]): ordered[lo:hi] for lo, hi in itertools.pairwise(cuts.tolist())}
+        named = ix.key[values] >= 0
+        keys = ix.key[values[named]]
+        spans = [ix.data[a:b] for a, b in zip((ix.start[keys] + 1).tolist(), (ix.end[keys] - 1).tolist(), strict=True)]
+        names = [k if b"\\" not in k else json.loads(b'"' + k + b'"').encode("utf-8", "surrogatepass") for k in spans]
+        self._members = dict(zip(zip(holders[named].tolist(), names, strict=True), values[named].tolist(), strict=True))
+
+    def children(self, t: int) -> list[int]:
+        """Members or elements of a container, in their order."""
+        return self._children.get(t, [])
 
     def member(self, t: int | None, name: bytes) -> int | None:
         """The last member of that name, as JSON readers take it."""
-        if t is None or self.ix.kind[t] != 123:
-            return None
-        found = None
-        for c in self.children(t):
-            raw = self.ix.span(self.ix.key[c])
-            if raw[1:-1] == name or (b"\\" in raw and json.loads(raw) == name.decode()):
-                found = int(c)
-        return found
+        return None if t is None else self._members.get((t, name))
 
     def elements(self, t: int | None) -> Iterator[tuple[int, int]]:
         """(place, token) of an array; an object counts as an array of one; a scalar or null has none."""
         if t is None:
             return
         if self.ix.kind[t] == 91:
-            for c in self.children(t):
-                yield int(self.ix.place[c]), int(c)
+            yield from enumerate(self.children(t))
         elif self.ix.kind[t] == 123:
             yield 0, t
 
@@ -254,9 +255,7 @@ class Reader:
 
 
 def _jobs(r: Reader, root: int, adapter: str) -> Iterator[int]:
-    for _ in range(4):  # envelopes within envelopes
-        if r.ix.kind[root] != 123 or r.member(root, b"jobs") is not None:
-            break
+    while r.ix.kind[root] == 123 and r.member(root, b"jobs") is None:  # envelopes within envelopes
         inner = next((m for e in ENVELOPES if (m := r.member(root, e.encode())) is not None and r.ix.kind[m] in (123, 91)), None)
         if inner is None:
             break

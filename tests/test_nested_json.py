@@ -28,7 +28,10 @@ def test_children_keep_their_places():
 
 def test_wrapped_encoded_and_marked_payloads_give_the_same():
     plain = json.dumps(ASHBY)
-    for payload in (json.dumps({"status": 200, "data": ASHBY}), json.dumps(plain), json.dumps(json.dumps(plain)), "﻿" + plain, json.dumps(ASHBY, indent=1)):
+    deep = ASHBY
+    for name in ("data", "result", "response", "payload") * 3:
+        deep = {"status": 200, name: deep}
+    for payload in (json.dumps({"status": 200, "data": ASHBY}), json.dumps(deep), json.dumps(plain), json.dumps(json.dumps(plain)), "﻿" + plain, json.dumps(ASHBY, indent=1)):
         assert found("ashby", payload) == found("ashby", plain)
 
 
@@ -40,7 +43,7 @@ def test_no_rows_for_what_is_no_complete_json():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=12), st.data())
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x), max_leaves=12), st.data())
 def test_validity_agrees_with_a_json_reader(value, data):
     text = json.dumps(value, ensure_ascii=data.draw(st.booleans()))
     at = data.draw(st.integers(0, max(0, len(text) - 1)))
@@ -57,6 +60,14 @@ def test_validity_agrees_with_a_json_reader(value, data):
     assert valid([text.encode("utf-8", "replace").decode(), broken, "{}"]) == [True, ok(broken), True]
 
 
+def test_numbers_that_json_lacks_are_invalid():
+    assert valid(["[NaN]", "[Infinity]", "[-Infinity]", "[1e5]"]) == [False, False, False, True]
+
+
+def test_last_of_equal_members_counts_and_escaped_names_are_read():
+    assert found("lever", '[{"id": "a", "id": "b", "li\\u0073ts": [{"text": "t"}]}]') == [("b", "list", 0, 0)]
+
+
 def test_long_payload_and_repeated_rows(spark):
     many = json.dumps([{"id": str(i), "lists": [{"text": "x" * random.Random(i).randrange(200)}]} for i in range(5000)])
     assert len(found("lever", many)) == sum(random.Random(i).randrange(200) > 0 for i in range(5000))
