@@ -248,7 +248,7 @@ def fit_network(labelled: DataFrame, id_col: str, content_col: str, label_col: s
     known = labelled.select(id_col, F.col(content_col).alias("c"), label_language(F.col(label_col)).alias("l")).filter("l is not null")
     sample = bounded_sample(known, id_col, "c", rows, FIT_CHARS, "l")
     lines, labels = [], []
-    for content, label, _ in sample:
+    for content, label in sample:
         got = html_content_lines(content)
         lines += got
         labels += [LANGUAGES.index(label)] * len(got)

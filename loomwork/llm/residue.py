@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.words import PieceMemo, bounded_sample, hash64, mix
 
 #: Records (about) on which the model is fitted, chosen by a hash of their id: the bound of the training sample.
-FIT_RECORDS = 20_000
+FIT_RECORDS = 8_000
 #: Characters up to which a record may serve for fitting, so that the sample is bounded in bytes too.
 FIT_CHARS = 10_000
 #: Features are hashed to so many bits.

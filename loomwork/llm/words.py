@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
@@ -92,13 +92,14 @@ def sampled(docs: DataFrame, id_col: str, rows: int, total: int | None = None) -
     return known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 62)) < F.lit((1 << 62) * rows // n))
 
 
-def bounded_sample(docs: DataFrame, id_col: str, text_col: str, rows: int, most_chars: int, *others: str) -> list[Row]:
+def bounded_sample(docs: DataFrame, id_col: str, text_col: str, rows: int, most_chars: int, *others: str) -> list[tuple]:
     """(text, *others) of about `rows` sampled rows, in the order of their hash, without null texts and those beyond `most_chars` characters.
 
     At most about rows * most_chars characters reach the driver. A table without texts gives an empty list; it is an error if there are texts but none in the sample.
     """
-    fit = sampled(docs, id_col, rows).filter(F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
-    found = fit.select(text_col, *others, F.xxhash64(id_col).alias("__order")).orderBy("__order", text_col).collect()
+    fit = sampled(docs.select(id_col, text_col, *others), id_col, rows).filter(F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
+    rows_of = fit.select(text_col, *others, F.xxhash64(id_col).alias("__order")).toPandas().sort_values(["__order", text_col])
+    found = list(rows_of.drop(columns="__order").itertuples(index=False, name=None))
     if not found and not docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).isEmpty():
         raise ValueError(f"no text of at most {most_chars} characters among about {rows} sampled rows")
     return found
