@@ -59,7 +59,7 @@ _ENDS = (".", "!", "?", "؟", "…", ".”", '."', "!”", "?”")
 #: Beginnings or wordings of trusted notices and placeholders, lower case. They serve for fitting only.
 TRUSTED = re.compile(
     r"""^\W*lorem\ ipsum\b
-    |^\W*(?:http\ )?(?:error|fehler|erreur|fout|erro|خطأ)\ [45]\d\d\b
+    |^\W*http\ error\b|^\W*(?:error|fehler|erreur|fout|erro|خطأ)\ [45]\d\d\b
     |^\W*(?:400\ bad\ request|401\ unauthorized|403\ forbidden|404\ not\ found|408\ request\ timeout|429\ too\ many\ requests|500\ internal\ server\ error|502\ bad\ gateway|503\ service\ (?:temporarily\ )?unavailable|504\ gateway\ time-?out)\W*$
     |^\W*internal\ server\ error\b|^\W*(?:bad\ gateway|access\ denied|page\ not\ found|too\ many\ requests)\W*$
     |\bwe\ (?:couldn['’]t|could\ not|can['’]t|cannot)\ find\ (?:that|the|this)\ page\b
@@ -168,7 +168,10 @@ class Passages:
         self.size = np.searchsorted(SIZES, total[self.record])
         self.short = (total <= SHORT_RECORD)[self.record]
         self.trusted = np.array([trusted(p) for p in found], bool)
-        self.half = np.array([hash64(re.sub(r"\d+", "0", p)) & 1 for p in found], np.int64)
+        wording = np.array([hash64(re.sub(r"\d+", "0", p)) for p in found], np.uint64)
+        self.half = (wording & np.uint64(1)).astype(np.int64)
+        _, which, copies = np.unique(wording, return_inverse=True, return_counts=True)
+        self.share = 1.0 / copies[which] if self.n else np.zeros(0)
 
     def best(self, score: np.ndarray) -> np.ndarray:
         """The highest score of each record's passages."""
@@ -215,9 +218,11 @@ class Residue:
         chance = np.where(known, 1.0, np.where(beside, UNLABELLED, 0.0))
         for _ in range(ROUNDS):
             tables = []
+            # A wording that isn't trusted speaks for residue once, however often it stands, but against it each time.
+            weight = np.where(known, 1.0, chance * s.share)
             for ids in (s.word, s.pair):
                 on = ids > 0
-                pos = np.bincount(ids[on], chance[s.owner[on]], 1 << FEATURE_BITS)
+                pos = np.bincount(ids[on], weight[s.owner[on]], 1 << FEATURE_BITS)
                 neg = np.bincount(ids[on], 1 - chance[s.owner[on]], 1 << FEATURE_BITS)
                 share = (pos + neg + 0.01) / (pos + neg + 0.01).sum()
                 gain = np.log((pos + BACKGROUND * share) / (pos.sum() + BACKGROUND)) - np.log((neg + BACKGROUND * share) / (neg.sum() + BACKGROUND))
