@@ -37,8 +37,8 @@ ROUNDS = 2
 UNLABELLED = 0.5
 #: Words and pairs tell partly the same, so each counts half; a record's size says what they don't and counts double.
 WORD_WEIGHT, SIZE_WEIGHT = 0.5, 2.0
-#: Log-odds among which the limit is chosen; under 5, odds of 150 to 1, single words decide too much.
-LIMITS = np.arange(5.0, 20.5, 0.5)
+#: Log-odds among which the limit is chosen; under 6, odds of 400 to 1, single words decide too much.
+LIMITS = np.arange(6.0, 20.5, 0.5)
 #: Words up to which a record with a trusted passage is taken for a trusted record.
 SHORT_RECORD = 40
 #: Words of a record at which its size class changes.
