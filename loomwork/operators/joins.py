@@ -21,3 +21,11 @@ def lookup_join(left: DataFrame, lookup: DataFrame, key: str, max_rows: int = BR
     if lookup.limit(max_rows + 1).count() <= max_rows:
         lookup = F.broadcast(lookup)
     return left.join(lookup, key, "left")
+
+
+def lookup_filter(left: DataFrame, keys: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of `left` whose key is among `keys`, counted first as in lookup_join. Null keys match nothing; repeated keys multiply nothing."""
+    keys = keys.select(key)
+    if keys.limit(max_rows + 1).count() <= max_rows:
+        keys = F.broadcast(keys)
+    return left.join(keys, key, "left_semi")
