@@ -1,42 +1,51 @@
-"""Near-duplicate texts: fingerprints, a join that bounds their distance from below, exact verification.
+"""Near-duplicate texts: segment counts of fingerprints bound the distance of sets from below, exact comparison verifies.
 
-A text's word shingles give a set. Its min-hash bits form a fingerprint whose segments are counted; the Manhattan
-distance of two rows of counts never exceeds the fingerprints' Hamming distance, so it discards a pair before
-the bits are compared, and the bits before the sets are. Counts of so similar texts span most of their range at
-a similarity of 0.6, so a grid over the counts alone can't split the collection; the cells of the join are bands
-of min-hashes instead. Exact copies are one class throughout and are expanded only on demand.
+A text's word shingles, hashed, are the set bits of a long sparse fingerprint. Its bits are counted in SEGMENTS equal
+segments; the Manhattan distance of two rows of counts never exceeds the number of shingles in which the sets differ,
+which a similarity allows only up to a limit, so it discards pairs without loss before the sets are fetched. At a
+similarity of 0.6 the limit is too wide for cells of a grid over the counts to tell texts apart, so the cells of
+the join are bands of min-hashes. Exact copies are one class throughout and are expanded only on demand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.words import WordHasher, mix, windows
 from loomwork.operators.components import connected_components
+from loomwork.operators.joins import lookup_filter
 from loomwork.session import materialize
 
 #: Bands and min-hashes a band: a pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 32, 4
-#: Fingerprint bits, as two numbers of 64, each in segments of SEGMENT bits.
-BITS, SEGMENT = 128, 16
-#: Standard deviations of the Hamming distance allowed beyond its mean at the threshold.
-SLACK = 3.5
+#: Min-hashes of a text.
+HASHES = BANDS * ROWS
+#: Segments of a fingerprint; counts are kept up to 255, which only lowers distances.
+SEGMENTS = 256
+#: Members from which a cell is split among several tasks, in parts of about so many.
+HOT_CELL = 500
 
 _R = np.random.default_rng(20_011)
-_ODD = _R.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _R.integers(0, 1 << 63, BITS, dtype=np.uint64)
+_ODD = _R.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _R.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def most_bits(threshold: float) -> int:
-    """Hamming distance that a pair at the threshold stays within, but for a chance of about 1 in 4000."""
-    p = (1 - threshold) / 2
-    return int(BITS * p + SLACK * (BITS * p * (1 - p)) ** 0.5) + 1
+def most_different(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Elements in which two sets of `n` elements together may differ at a Jaccard similarity of `threshold` or more."""
+    return n * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def segment_counts(joined: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Set bits of each segment of each set's fingerprint; the segment is the hash's highest byte."""
+    owner = np.repeat(np.arange(len(begin)), sizes)
+    cells = np.bincount(owner * SEGMENTS + (joined >> np.uint64(56)).astype(np.int64), minlength=len(begin) * SEGMENTS)
+    return np.minimum(cells, 255).astype(np.uint8).reshape(len(begin), SEGMENTS)
 
 
 def shingle_sets(texts: list[str], bodies: list[str], width: int, min_words: int, hasher: WordHasher) -> tuple[list[int], list[np.ndarray]]:
@@ -56,16 +65,14 @@ def shingle_sets(texts: list[str], bodies: list[str], width: int, min_words: int
 
 
 def signatures(sets: list[np.ndarray]) -> dict[str, object]:
-    """Class (c1, c2), size n, band keys and fingerprint (f1, f2) of each set."""
+    """Class (c1, c2), size n, band keys and segment counts of each set."""
     sizes = np.array([len(s) for s in sets])
     begin = np.cumsum(sizes) - sizes
     joined = np.concatenate(sets)
-    low = np.empty((len(sets), BITS), np.uint64)
-    for k in range(BITS):
+    low = np.empty((len(sets), HASHES), np.uint64)
+    for k in range(HASHES):
         low[:, k] = np.minimum.reduceat(mix_fast(joined, k), begin)
-    mixed = mix(low)
-    bits = np.packbits((mixed & np.uint64(1)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
-    banded = mixed.reshape(len(sets), BANDS, ROWS)
+    banded = mix(low).reshape(len(sets), BANDS, ROWS)
     keys = np.arange(BANDS, dtype=np.uint64)[None].repeat(len(sets), 0)
     for j in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, j])
@@ -75,8 +82,7 @@ def signatures(sets: list[np.ndarray]) -> dict[str, object]:
         "c2": [(d & ((1 << 64) - 1)) - (1 << 63) for d in digests],
         "n": sizes,
         "bands": np.ascontiguousarray(keys.view(np.int64)),
-        "f1": bits[:, 0],
-        "f2": bits[:, 1],
+        "counts": segment_counts(joined, begin, sizes),
     }
 
 
@@ -85,8 +91,8 @@ def mix_fast(h: np.ndarray, k: int) -> np.ndarray:
     return h * _ODD[k] + _ADD[k]
 
 
-def _set_batches(docs: DataFrame, id_col: str, title: str, body: str, width: int, min_words: int, schema: str, make: Callable) -> DataFrame:
-    """`make(ids, sets)` for the texts that take part, in Arrow batches."""
+def _signature_table(docs: DataFrame, id_col: str, title: str, body: str, width: int, min_words: int) -> DataFrame:
+    """id, class, size, band keys, segment counts and shingles of the texts that take part, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -97,31 +103,74 @@ def _set_batches(docs: DataFrame, id_col: str, title: str, body: str, width: int
                 texts = [f"{t or ''}\n{x}" for t, x in zip(part.column(1).to_pylist(), bodies, strict=True)]
                 rows, sets = shingle_sets(texts, bodies, width, min_words, hasher)
                 if rows:
-                    yield make(part.column(0).take(pa.array(rows)), sets)
+                    yield _signature_batch(part.column(0).take(pa.array(rows)), sets)
 
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, c1 bigint, c2 bigint, n int, bands array<bigint>, counts binary, shingles binary"
     return docs.filter(F.col(id_col).isNotNull() & F.col(body).isNotNull()).select(id_col, title, body).mapInArrow(run, schema)
 
 
 def _signature_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     s = signatures(sets)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s["bands"].size + 1, BANDS), pa.int32()), pa.array(s["bands"].ravel()))
-    columns = [ids, pa.array(s["c1"], pa.int64()), pa.array(s["c2"], pa.int64()), pa.array(s["n"], pa.int32()), lists, pa.array(s["f1"]), pa.array(s["f2"])]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "c1", "c2", "n", "bands", "f1", "f2"])
+    short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in sets]
+    columns = [ids, pa.array(s["c1"], pa.int64()), pa.array(s["c2"], pa.int64()), pa.array(s["n"], pa.int32()), lists]
+    columns += [pa.array([c.tobytes() for c in s["counts"]], pa.binary()), pa.array(short, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "c1", "c2", "n", "bands", "counts", "shingles"])
+
+
+def cell_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (id_a, id_b), id_a < id_b, of (id, n, bands) that share a cell and whose sizes n allow the similarity.
+
+    The members of a big cell are spread over parts on one side and repeated in each part on the other, so no task gets
+    more than about HOT_CELL rows of it to compare with the rest.
+    """
+    # Counting and joining share one exchange; most cells have one member and end there.
+    banded = reps.select("id", "n", F.explode("bands").alias("band")).repartition("band")
+    cells = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = materialize(banded.join(cells, "band").withColumn("parts", F.ceil(F.col("members") / HOT_CELL).cast("int")), "cells")
+    a = met.select("band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("id_a"), F.col("n").alias("n_a"))
+    b = met.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    sizes = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
+    return a.join(b, ["band", "part"]).filter((F.col("id_a") < F.col("id_b")) & sizes).select("id_a", "id_b").distinct()
 
 
-def _set_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-    return pa.RecordBatch.from_arrays([ids, pa.array(short, pa.binary())], names=["id", "shingles"])
+def _beside(pairs: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (id_a, id_b) with columns of `values`, by id, for both ends: those of a, then those of b."""
+    a = values.select(F.col("id").alias("id_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = values.select(F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", *[f"{c}_{e}" for e in "ab" for c in columns])
 
 
-def _manhattan(a: Column, b: Column) -> Column:
-    """Manhattan distance of the segment counts of two 64-bit numbers, a lower bound of their Hamming distance."""
-    total = F.lit(0)
-    for at in range(0, 64, SEGMENT):
-        mask = ((1 << SEGMENT) - 1) << at
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        total = total + F.abs(F.bit_count(a.bitwiseAND(F.lit(mask))) - F.bit_count(b.bitwiseAND(F.lit(mask))))
-    return total
+def bounded_pairs(pairs: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose segment counts (id, n, counts) are near enough for their sets to be alike; none that is alike is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in ("counts_a", "counts_b"))
+                n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+                near = np.abs(x - y).sum(1) <= most_different(n, threshold)
+                yield b.select(["id_a", "id_b"]).filter(pa.array(near))
+
+    id_type = pairs.schema["id_a"].dataType.simpleString()
+    return _beside(pairs, counts, "n", "counts").mapInArrow(run, f"id_a {id_type}, id_b {id_type}")
+
+
+def verified_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(rep_a, rep_b, similarity) of the pairs whose sets (id, shingles) have a Jaccard similarity of at least `threshold`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = np.empty(b.num_rows)
+            for i, (p, q) in enumerate(zip(b.column("shingles_a").to_pylist(), b.column("shingles_b").to_pylist(), strict=True)):
+                u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+                same = len(u) + len(v) - len(np.unique(np.concatenate((u, v))))
+                score[i] = same / (len(u) + len(v) - same)
+            keep = pa.array(score >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column("id_a").filter(keep), b.column("id_b").filter(keep), pa.array(score).filter(keep)], names=["rep_a", "rep_b", "similarity"])
+
+    id_type = pairs.schema["id_a"].dataType.simpleString()
+    return _beside(pairs, sets, "shingles").mapInArrow(run, f"rep_a {id_type}, rep_b {id_type}, similarity double")
 
 
 def near_copy_classes(
@@ -132,45 +181,18 @@ def near_copy_classes(
     Returns members (id, rep), one row a text of at least `min_words` words in its body, where `rep` is the smallest id with the same
     shingle set; and links (rep_a, rep_b, similarity), rep_a < rep_b, every candidate pair whose sets have a Jaccard
     similarity of at least `threshold`. A text under `width` words has one shingle. Null ids and bodies take no part;
-    a repeated id keeps one row a distinct text. Bands miss a pair at similarity s with probability
-    (1 - s**ROWS)**BANDS: 1.2 % at 0.6, 0.05 % at 0.68, under 1e-7 at 0.8.
+    a repeated id stands for all its texts and is linked if any of them is. Bands miss a pair at similarity s with probability
+    (1 - s**ROWS)**BANDS: 1.2 % at 0.6, 0.05 % at 0.68, under 1e-7 at 0.8; no later step misses any.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    args = (docs, id_col, title, body, width, min_words)
-    # Only the narrow signatures are kept; the sets, several times their size, are made again where they are needed.
-    sig = materialize(_set_batches(*args, f"id {id_type}, c1 bigint, c2 bigint, n int, bands array<bigint>, f1 bigint, f2 bigint", _signature_batch), "signatures")
-    sets = _set_batches(*args, f"id {id_type}, shingles binary", _set_batch)
-    classes = sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    members = sig.select("id", "c1", "c2").join(classes, ["c1", "c2"]).select("id", "rep").distinct()
-    reps = sig.select("id", "c1", "c2", "n", "bands", "f1", "f2").join(classes.select("c1", "c2", F.col("rep").alias("id")), ["c1", "c2", "id"]).dropDuplicates(["id"])
-    banded = reps.select("id", "n", "f1", "f2", F.explode("bands").alias("band"))
-    a = banded.select("band", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "f1", "f2")])
-    b = banded.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "f1", "f2")])
-    most = most_bits(threshold)
-    bits = F.bit_count(F.col("f1_a").bitwiseXOR(F.col("f1_b"))) + F.bit_count(F.col("f2_a").bitwiseXOR(F.col("f2_b")))
-    alike = (
-        (F.col("id_a") < F.col("id_b"))
-        & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
-        & (_manhattan(F.col("f1_a"), F.col("f1_b")) + _manhattan(F.col("f2_a"), F.col("f2_b")) <= most)
-        & (bits <= most)
-    )
-    pairs = a.join(b, "band").filter(alike).select("id_a", "id_b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("shingles").alias("s_a")), "id_a").join(
-        sets.select(F.col("id").alias("id_b"), F.col("shingles").alias("s_b")), "id_b"
-    )
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            score = np.empty(x.num_rows)
-            for i, (p, q) in enumerate(zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)):
-                u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                same = len(u) + len(v) - len(np.unique(np.concatenate((u, v))))
-                score[i] = same / (len(u) + len(v) - same)
-            keep = score >= threshold
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep)), x.column(1).filter(pa.array(keep)), pa.array(score[keep])], names=["rep_a", "rep_b", "similarity"])
-
-    links = both.select("id_a", "id_b", "s_a", "s_b").mapInArrow(verify, f"rep_a {id_type}, rep_b {id_type}, similarity double")
-    return members, links
+    sig = materialize(_signature_table(docs, id_col, title, body, width, min_words), "signatures")
+    # Sizes and bands are equal throughout a class.
+    classes = sig.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    near = materialize(bounded_pairs(cell_pairs(classes, threshold), sig.select("id", "n", "counts"), threshold).distinct(), "near-pairs")
+    ends = near.select(F.col("id_a").alias("id")).union(near.select("id_b")).distinct()
+    links = verified_pairs(near, lookup_filter(sig.select("id", "shingles"), ends, "id"), threshold)
+    reps = sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
+    members = sig.select("id", "c1", "c2").join(reps, ["c1", "c2"]).select("id", "rep").distinct()
+    return members, links.groupBy("rep_a", "rep_b").agg(F.max("similarity").alias("similarity"))
 
 
 def near_copy_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

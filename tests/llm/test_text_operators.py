@@ -8,11 +8,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.llm import near_copies as nc
 from loomwork.llm import repeated_lines as rl
 from loomwork.llm import residue
 from loomwork.llm.canonical import BKTree, Reference, compact, distance, map_values
 from loomwork.llm.leakage import find_leaks, tile
-from loomwork.llm.near_copies import _manhattan, near_copy_classes, near_copy_groups, near_copy_pairs
+from loomwork.llm.near_copies import near_copy_classes, near_copy_groups, near_copy_pairs
 from loomwork.llm.residue import Residue, mark, passages, score_records, trusted
 from loomwork.llm.words import WordHasher, bounded_sample, hash64, sampled, windows
 from tests.conftest import rows
@@ -140,11 +141,54 @@ def test_hot_class_of_copies_is_linear(spark):
     assert rows(near_copy_groups(empty, none)) == []
 
 
-def test_segment_counts_bound_the_distance(spark):
-    r = random.Random(4)
-    df = spark.createDataFrame([(r.getrandbits(63) * r.choice((1, -1)), r.getrandbits(63)) for _ in range(200)], "a bigint, b bigint")
-    got = df.select(_manhattan(F.col("a"), F.col("b")).alias("l"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("h")).collect()
-    assert all(0 <= x["l"] <= x["h"] for x in got)
+def edited(base, share, seed):
+    """A copy of a list of words of which about `share` are replaced one by one."""
+    r = random.Random(seed)
+    return [f"e{seed}x{i}" if r.random() < share else w for i, w in enumerate(base)]
+
+
+def test_segment_counts_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n in (1, 20, 400, 60_000):
+        base = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        other = np.unique(np.r_[base[: n // 2], r.integers(0, 1 << 63, n // 3 + 1, dtype=np.uint64)])
+        sets = [np.unique(base), other]
+        sizes = np.array([len(x) for x in sets])
+        counts = nc.segment_counts(np.concatenate(sets), np.r_[0, sizes[:1]], sizes).astype(int)
+        assert np.abs(counts[0] - counts[1]).sum() <= len(np.setxor1d(*sets))
+
+
+def test_steps_discard_unlike_pairs_and_no_alike_ones(spark):
+    """Of the pairs in a common cell the bound discards most that aren't alike, and none that is; near the limit few are missed by the cells."""
+    docs, alike = [], {}
+    for g in range(600):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(3):
+            docs.append((g * 10 + k, "t", " ".join(edited(base, (0.0, 0.08, 0.03, 0.04, 0.05, 0.12)[(g + k) % 6], g * 10 + k))))
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, _, b in docs for w in [["t", *b.split()]]}
+    for g in range(600):
+        for x, y in itertools.combinations(range(g * 10, g * 10 + 3), 2):
+            alike[x, y] = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    df = spark.createDataFrame(docs, "id bigint, t string, b string")
+    found = {tuple(r) for r in near_copy_pairs(*near_copy_classes(df, "id", "t", "b", width=3, threshold=0.6, min_words=20)).collect()}
+    assert all(alike[p] >= 0.6 for p in found)
+    edge, clear = ({p for p, s in alike.items() if lo <= s < hi} for lo, hi in ((0.6, 0.68), (0.68, 1.1)))
+    print(len(edge), len(edge & found), len(clear), len(clear & found))
+    assert len(edge) >= 60 and len(edge & found) >= 0.97 * len(edge) and len(clear & found) >= 0.99 * len(clear)
+    sig = nc._signature_table(df, "id", "t", "b", 3, 20)
+    every = spark.createDataFrame(list(itertools.combinations([i for i, _, _ in docs][:450], 2)), "id_a bigint, id_b bigint")
+    kept = {tuple(r) for r in nc.bounded_pairs(every, sig.select("id", "n", "counts"), 0.6).collect()}
+    near = {p for p, s in alike.items() if s >= 0.6 and p[1] < docs[450][0]}
+    unlike = every.count() - len(near)
+    print(len(kept), len(near), unlike)
+    assert near <= kept and len(kept - near) <= 0.02 * unlike
+
+
+def test_cells_meet_whole_however_big(spark, monkeypatch):
+    monkeypatch.setattr(nc, "HOT_CELL", 7)
+    df = spark.range(60).selectExpr("id", "cast(10 as int) as n", "array(id % 2, 5L + id % 3) as bands")
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if a % 2 == b % 2 or a % 3 == b % 3}
+    assert {tuple(r) for r in nc.cell_pairs(df, 0.6).collect()} == want
 
 
 # Repeated lines
