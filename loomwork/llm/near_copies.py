@@ -1,10 +1,11 @@
 """Near-duplicate texts: segment counts of fingerprints bound the distance of sets from below, exact comparison verifies.
 
-A text's word shingles, hashed, are the set bits of a long sparse fingerprint. Its bits are counted in SEGMENTS equal
-segments; the Manhattan distance of two rows of counts never exceeds the number of shingles in which the sets differ,
-which a similarity allows only up to a limit, so it discards pairs without loss before the sets are fetched. At a
-similarity of 0.6 the limit is too wide for cells of a grid over the counts to tell texts apart, so the cells of
-the join are bands of min-hashes. Exact copies are one class throughout and are expanded only on demand.
+A text's word shingles, hashed, are the set bits of a long sparse fingerprint. Its bits are counted in equal segments;
+the Manhattan distance of two rows of counts, or of their parities, never exceeds the number of shingles in which the
+sets differ, which a similarity allows only up to a limit, so both discard pairs without loss: the parities, a few
+numbers a row, within the join, the counts before the sets are fetched. At a similarity of 0.6 the limit is too wide
+for cells of a grid over the counts to tell texts apart, so the cells of the join are bands of min-hashes. Exact
+copies are one class throughout and are expanded only on demand.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.words import WordHasher, mix, windows
@@ -28,6 +29,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Segments of a fingerprint; counts are kept up to 255, which only lowers distances.
 SEGMENTS = 256
+#: Numbers of 64 bits that hold the parities of all segments.
+PARITIES = [f"p{i}" for i in range(SEGMENTS // 64)]
 #: Members from which a cell is split among several tasks, in parts of about so many.
 HOT_CELL = 500
 
@@ -36,16 +39,16 @@ _ODD = _R.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint
 _ADD = _R.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def most_different(n: np.ndarray, threshold: float) -> np.ndarray:
+def most_different(n: np.ndarray | Column, threshold: float) -> np.ndarray | Column:
     """Elements in which two sets of `n` elements together may differ at a Jaccard similarity of `threshold` or more."""
     return n * ((1 - threshold) / (1 + threshold)) + 1e-6
 
 
-def segment_counts(joined: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Set bits of each segment of each set's fingerprint; the segment is the hash's highest byte."""
+def segment_counts(joined: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set bits of each segment of each set's fingerprint, and their parities as numbers; the segment is the hash's highest byte."""
     owner = np.repeat(np.arange(len(begin)), sizes)
-    cells = np.bincount(owner * SEGMENTS + (joined >> np.uint64(56)).astype(np.int64), minlength=len(begin) * SEGMENTS)
-    return np.minimum(cells, 255).astype(np.uint8).reshape(len(begin), SEGMENTS)
+    cells = np.bincount(owner * SEGMENTS + (joined >> np.uint64(56)).astype(np.int64), minlength=len(begin) * SEGMENTS).reshape(len(begin), SEGMENTS)
+    return np.minimum(cells, 255).astype(np.uint8), np.packbits(cells % 2 == 1, axis=1).view(np.int64)
 
 
 def shingle_sets(texts: list[str], bodies: list[str], width: int, min_words: int, hasher: WordHasher) -> tuple[list[int], list[np.ndarray]]:
@@ -65,7 +68,7 @@ def shingle_sets(texts: list[str], bodies: list[str], width: int, min_words: int
 
 
 def signatures(sets: list[np.ndarray]) -> dict[str, object]:
-    """Class (c1, c2), size n, band keys and segment counts of each set."""
+    """Class (c1, c2), size n, band keys, segment counts and their parities of each set."""
     sizes = np.array([len(s) for s in sets])
     begin = np.cumsum(sizes) - sizes
     joined = np.concatenate(sets)
@@ -76,13 +79,15 @@ def signatures(sets: list[np.ndarray]) -> dict[str, object]:
     keys = np.arange(BANDS, dtype=np.uint64)[None].repeat(len(sets), 0)
     for j in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, j])
+    counts, parities = segment_counts(joined, begin, sizes)
     digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
     return {
         "c1": [(d >> 64) - (1 << 63) for d in digests],
         "c2": [(d & ((1 << 64) - 1)) - (1 << 63) for d in digests],
         "n": sizes,
         "bands": np.ascontiguousarray(keys.view(np.int64)),
-        "counts": segment_counts(joined, begin, sizes),
+        "counts": counts,
+        "parities": parities,
     }
 
 
@@ -92,7 +97,7 @@ def mix_fast(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _signature_table(docs: DataFrame, id_col: str, title: str, body: str, width: int, min_words: int) -> DataFrame:
-    """id, class, size, band keys, segment counts and shingles of the texts that take part, in Arrow batches."""
+    """id, class, size, band keys, segment counts, their parities and shingles of the texts that take part, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -105,7 +110,7 @@ def _signature_table(docs: DataFrame, id_col: str, title: str, body: str, width:
                 if rows:
                     yield _signature_batch(part.column(0).take(pa.array(rows)), sets)
 
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, c1 bigint, c2 bigint, n int, bands array<bigint>, counts binary, shingles binary"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, c1 bigint, c2 bigint, n int, bands array<bigint>, counts binary, shingles binary, {', '.join(f'{p} bigint' for p in PARITIES)}"
     return docs.filter(F.col(id_col).isNotNull() & F.col(body).isNotNull()).select(id_col, title, body).mapInArrow(run, schema)
 
 
@@ -115,23 +120,34 @@ def _signature_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in sets]
     columns = [ids, pa.array(s["c1"], pa.int64()), pa.array(s["c2"], pa.int64()), pa.array(s["n"], pa.int32()), lists]
     columns += [pa.array([c.tobytes() for c in s["counts"]], pa.binary()), pa.array(short, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "c1", "c2", "n", "bands", "counts", "shingles"])
+    columns += [pa.array(np.ascontiguousarray(s["parities"][:, i])) for i in range(len(PARITIES))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "c1", "c2", "n", "bands", "counts", "shingles", *PARITIES])
 
 
 def cell_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (id_a, id_b), id_a < id_b, of (id, n, bands) that share a cell and whose sizes n allow the similarity.
+    """Distinct pairs (id_a, id_b), id_a < id_b, of (id, n, bands, PARITIES) that share a cell and whose sizes n and parities allow the similarity.
 
-    The members of a big cell are spread over parts on one side and repeated in each part on the other, so no task gets
-    more than about HOT_CELL rows of it to compare with the rest.
+    The members of a cell of more than HOT_CELL are spread over parts on one side and repeated in each part on the other,
+    so that no task has to compare all of it.
     """
-    # Counting and joining share one exchange; most cells have one member and end there.
-    banded = reps.select("id", "n", F.explode("bands").alias("band")).repartition("band")
-    cells = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = materialize(banded.join(cells, "band").withColumn("parts", F.ceil(F.col("members") / HOT_CELL).cast("int")), "cells")
-    a = met.select("band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("id_a"), F.col("n").alias("n_a"))
-    b = met.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_b"), F.col("n").alias("n_b"))
-    sizes = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
-    return a.join(b, ["band", "part"]).filter((F.col("id_a") < F.col("id_b")) & sizes).select("id_a", "id_b").distinct()
+    carried = ["id", "n", *PARITIES]
+    # One exchange serves the counting of members and the joins; most cells of small collections have one member and end there.
+    banded = reps.select(*carried, F.explode("bands").alias("band")).repartition("band")
+    met = banded.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("members > 1")
+    small, big = met.filter(F.col("members") <= HOT_CELL), met.filter(F.col("members") > HOT_CELL).withColumn("parts", F.ceil(F.col("members") / HOT_CELL).cast("int"))
+
+    def end(rows: DataFrame, e: str, *keys: Column) -> DataFrame:
+        return rows.select("band", *keys, *[F.col(c).alias(f"{c}_{e}") for c in carried])
+
+    part, every = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
+    alike = (
+        (F.col("id_a") < F.col("id_b"))
+        & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
+        & (differ <= most_different(F.col("n_a") + F.col("n_b"), threshold))
+    )
+    joined = end(small, "a").join(end(small, "b"), "band"), end(big, "a", part).join(end(big, "b", every), ["band", "part"])
+    return joined[0].filter(alike).select("id_a", "id_b").union(joined[1].filter(alike).select("id_a", "id_b")).distinct()
 
 
 def _beside(pairs: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
@@ -185,8 +201,8 @@ def near_copy_classes(
     (1 - s**ROWS)**BANDS: 1.2 % at 0.6, 0.05 % at 0.68, under 1e-7 at 0.8; no later step misses any.
     """
     sig = materialize(_signature_table(docs, id_col, title, body, width, min_words), "signatures")
-    # Sizes and bands are equal throughout a class.
-    classes = sig.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # All but the id is equal throughout a class.
+    classes = sig.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in PARITIES])
     near = materialize(bounded_pairs(cell_pairs(classes, threshold), sig.select("id", "n", "counts"), threshold).distinct(), "near-pairs")
     ends = near.select(F.col("id_a").alias("id")).union(near.select("id_b")).distinct()
     links = verified_pairs(near, lookup_filter(sig.select("id", "shingles"), ends, "id"), threshold)
