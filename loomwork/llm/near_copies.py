@@ -28,7 +28,7 @@ BANDS, ROWS = 32, 4
 #: Min-hashes of a text.
 HASHES = BANDS * ROWS
 #: Segments of a fingerprint; counts are kept up to 255, which only lowers distances.
-SEGMENTS = 256
+SEGMENTS = 384
 #: Numbers of 64 bits that hold the parities of all segments.
 PARITIES = [f"p{i}" for i in range(SEGMENTS // 64)]
 #: Members from which a cell is split among several tasks, in parts of about so many.
@@ -45,9 +45,10 @@ def most_different(n: np.ndarray | Column, threshold: float) -> np.ndarray | Col
 
 
 def segment_counts(joined: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Set bits of each segment of each set's fingerprint, and their parities as numbers; the segment is the hash's highest byte."""
+    """Set bits of each segment of each set's fingerprint, and their parities as numbers; the segment is the hash's place in its range."""
     owner = np.repeat(np.arange(len(begin)), sizes)
-    cells = np.bincount(owner * SEGMENTS + (joined >> np.uint64(56)).astype(np.int64), minlength=len(begin) * SEGMENTS).reshape(len(begin), SEGMENTS)
+    segment = ((joined >> np.uint64(40)) * np.uint64(SEGMENTS) >> np.uint64(24)).astype(np.int64)
+    cells = np.bincount(owner * SEGMENTS + segment, minlength=len(begin) * SEGMENTS).reshape(len(begin), SEGMENTS)
     return np.minimum(cells, 255).astype(np.uint8), np.packbits(cells % 2 == 1, axis=1).view(np.int64)
 
 
