@@ -90,36 +90,64 @@ def board_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select("board", F.col(c).alias("posting")) for t, c in pairs])
 
 
-_P7 = r"""with l as (select board, id as posting, unnest(regexp_split_to_array(coalesce(descriptionPlain, '') || chr(10) || coalesce(additionalPlain, ''), '\r\n|\r|\n')) as line from lever_postings
-union all select board, shortcode, replace(replace(replace(replace(replace(replace(replace(regexp_replace(unnest(regexp_split_to_array(description, '(?i)</?(?:p|div|ul|li|h3|br)\b[^>]*>')), '<[^>]*>', '', 'g'),
-'&nbsp;', chr(160)), '&#x27;', chr(39)), '&#39;', chr(39)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') from workable_jobs),
-n as (select board, posting, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]+', ' ', 'g')) as line from l)
-select board, line from n where line <> '' and board is not null group by 1, 2 having count(distinct posting) >= 8"""
+_LINES = r"""lv as (select ingest_id, board, id as posting, regexp_split_to_array(descriptionPlain, '\r\n|\r|\n') as d, regexp_split_to_array(additionalPlain, '\r\n|\r|\n') as a from lever_postings),
+wk as (select ingest_id, board, shortcode as posting, regexp_split_to_array(description, '(?i)</?(?:p|div|ul|li|h3|br)\b[^>]*>') as d from workable_jobs),
+l as (select 'lever' as feed, ingest_id, board, posting, 'descriptionPlain' as part, unnest(range(len(d))) as pos, unnest(d) as line from lv
+union all select 'lever', ingest_id, board, posting, 'additionalPlain', unnest(range(len(a))), unnest(a) from lv
+union all select 'workable', ingest_id, board, posting, 'description', pos,
+replace(replace(replace(replace(replace(replace(replace(regexp_replace(line, '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&#x27;', chr(39)), '&#39;', chr(39)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')
+from (select ingest_id, board, posting, unnest(range(len(d))) as pos, unnest(d) as line from wk)),
+f as (select *, nullif(trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]+', ' ', 'g')), '') as folded from l)"""
+_SCORES = f"""{_LINES}, c as (select board, folded, count(distinct posting) as n_in from f where folded is not null and board is not null and posting is not null group by 1, 2),
+sz as (select board, count(*) as docs_in from (select board, id as p from lever_postings union select board, shortcode from workable_jobs) where board is not null and p is not null group by 1),
+x as (select board, folded, n_in, sum(n_in) over (partition by folded) - n_in as n_out, docs_in, (select sum(docs_in) from sz) - docs_in as docs_out from c join sz using (board)),
+e as (select *, (n_in + n_out) / (docs_in + docs_out)::double as share from x),
+r as (select *, case when docs_out > 0 and n_in::hugeint * docs_out > n_out::hugeint * docs_in then 2 * (
+n_in * ln(n_in / (docs_in * share)) + case when n_out > 0 then n_out * ln(n_out / (docs_out * share)) else 0 end
++ case when docs_in > n_in then (docs_in - n_in) * ln((docs_in - n_in) / (docs_in * (1 - share))) else 0 end
++ case when docs_out > n_out then (docs_out - n_out) * ln((docs_out - n_out) / (docs_out * (1 - share))) else 0 end) else 0 end as llr from e),
+bins as (select cast(floor(least(llr / 0.05, 20000)) as int) as b, count(*) as n from r group by 1),
+cum as (select b, sum(n) over (order by b desc) as seen, sum(n) over () as tests from bins),
+th as (select coalesce(min(b) * 0.05, 1e300) as t from cum where b > 0 and exp(-b * 0.05 / 2) <= 0.01 * seen / tests),
+s as (select board, folded, n_in, n_out, llr, llr >= t as significant from r, th where n_in >= 8)"""
+_CLEAN = """select feed, f.ingest_id, part, coalesce(string_agg(line, chr(10) order by pos) filter (where s.folded is null), '') as text, count(s.folded) as n_removed
+from f left join s on f.board = s.board and f.folded = s.folded group by 1, 2, 3"""
+
+
+def _repeated(spark: SparkSession, sf_dir: str, also_common: bool) -> tuple[DataFrame, DataFrame]:
+    """Lines of all boards, and the repeated ones among them."""
+    lines = board_lines(spark, sf_dir)
+    counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
+    return lines, excess_lines(counts, also_common=also_common)
 
 
-@registry.query(sql=_P7)
+@registry.query(sql=f"with {_LINES} select board, folded as line from f where folded is not null and board is not null group by 1, 2 having count(distinct posting) >= 8")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that stand in at least 8 distinct postings of one board."""
-    lines = board_lines(spark, sf_dir)
-    counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
-    return name_lines(excess_lines(counts), lines, "board").select(F.col("source").alias("board"), "line")
+    """Lines that stand in at least 8 distinct postings of one board, whether or not they are as usual elsewhere."""
+    lines, excess = _repeated(spark, sf_dir, also_common=True)
+    return name_lines(excess, lines, "board").select(F.col("source").alias("board"), "line")
 
 
-@registry.query()
+@registry.query(sql=f"with {_SCORES} select board, folded as line, n_in, n_out, round(llr, 3) as llr, significant::int as significant from s")
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated lines with their counts inside and outside the board and the significance of the excess."""
-    lines = board_lines(spark, sf_dir)
-    counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
-    named = name_lines(excess_lines(counts), lines, "board")
+    lines, excess = _repeated(spark, sf_dir, also_common=True)
+    named = name_lines(excess, lines, "board")
     return named.select(F.col("source").alias("board"), "line", "n_in", "n_out", F.round("llr", 3).alias("llr"), F.col("significant").cast("int").alias("significant"))
 
 
-@registry.query()
+@registry.query(sql=f"with {_SCORES.replace('where n_in >= 8', 'where n_in >= 8 and llr >= t')} {_CLEAN}")
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text without its board's repeated lines."""
-    lines = board_lines(spark, sf_dir)
-    counts = count_lines(lines, board_postings(spark, sf_dir), "board", "posting")
-    return remove_lines(lines, excess_lines(counts), "board", ["feed", "ingest_id", "part"])
+    """Each text without the lines that stand in its board significantly more often than elsewhere."""
+    lines, excess = _repeated(spark, sf_dir, also_common=False)
+    return remove_lines(lines, excess, "board", ["feed", "ingest_id", "part"])
+
+
+@registry.query(sql=f"with {_SCORES} {_CLEAN}")
+def p7_clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without any line of p7_found."""
+    lines, excess = _repeated(spark, sf_dir, also_common=True)
+    return remove_lines(lines, excess, "board", ["feed", "ingest_id", "part"])
 
 
 @registry.query()

@@ -195,7 +195,7 @@ def test_cells_meet_whole_however_big(spark, monkeypatch):
 # Repeated lines
 
 
-def test_lines_against_brute_force(spark):
+def test_lines_against_brute_force(spark, monkeypatch):
     r = random.Random(9)
     docs = []
     for s, n in (("big", 60), ("small", 12), (None, 5)):
@@ -209,7 +209,7 @@ def test_lines_against_brute_force(spark):
     df = spark.createDataFrame(docs, "source string, doc string, text string").withColumn("line", F.lit(1))
     lines = rl.explode_lines(df.select("source", "doc", rl.plain_lines(F.col("text")).alias("lines")), ["source", "doc"])
     counts = rl.count_lines(lines, df, "source", "doc")
-    named = rl.name_lines(rl.excess_lines(counts), lines, "source")
+    named = rl.name_lines(rl.excess_lines(counts, also_common=True), lines, "source")
     want = defaultdict(set)
     for s, d, t in docs:
         if s and d and t:
@@ -219,13 +219,32 @@ def test_lines_against_brute_force(spark):
     got = {(x["source"], x["line"]): (x["n_in"], x["significant"]) for x in named.collect()}
     assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in want.items() if len(v) >= 8}
     assert got["big", "notice 0 of big"][1] and not got["big", "common to all"][1]
-    only = rl.excess_lines(counts, also_common=False)
+    only = rl.excess_lines(counts)
     clean = {(x["source"], x["doc"]): x["text"] for x in rl.remove_lines(lines.filter("doc = 'small3'"), only, "source", ["source", "doc"]).collect()}
     assert "Notice" not in clean["small", "small3"] and "common to all" in clean["small", "small3"]
+    monkeypatch.setattr(rl, "BROADCAST_ROWS", 0)  # the ways for many found lines give the same
+    assert rows(rl.name_lines(rl.excess_lines(counts, also_common=True), lines, "source")) == rows(named)
+    assert {(x["source"], x["doc"]): x["text"] for x in rl.remove_lines(lines.filter("doc = 'small3'"), only, "source", ["source", "doc"]).collect()} == clean
+    alone = rl.count_lines(lines.filter("source = 'big'"), df.filter("source = 'big'"), "source", "doc")
+    assert alone.filter("llr <> 0").isEmpty() and rows(rl.excess_lines(alone)) == []
     none = rl.count_lines(lines.limit(0), df.limit(0), "source", "doc")
     assert rows(rl.excess_lines(none)) == []
 
 
+def test_one_line_in_every_text_of_a_board_goes_to_no_single_task(spark):
+    df = spark.range(20_000, numPartitions=8).select(F.lit("b").alias("source"), F.col("id").cast("string").alias("doc"), F.lit("The same notice").alias("line"), F.lit(0).alias("pos"), F.lit("the same notice").alias("folded"))
+    other = df.limit(100).withColumns({"source": F.lit("c"), "line": F.col("doc"), "folded": F.concat(F.lit("w"), "doc")})
+    both = df.unionByName(other)
+    found = rl.excess_lines(rl.count_lines(both, both.select("source", "doc"), "source", "doc"))
+    named = rl.name_lines(found, both, "source")
+    assert [(r["line"], r["n_in"]) for r in named.collect()] == [("the same notice", 20_000)]
+    cleaned = rl.remove_lines(both, found, "source", ["source", "doc"]).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in cleaned.filter("source = 'b'").groupBy("task").count().collect()]
+    assert sum(sizes) == 20_000 and (len(sizes) == 1 or max(sizes) < 10_000)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__source" not in plan
+
+
 def test_html_lines():
     assert rl.html_lines("<p>A&nbsp;<b>b</b></p>c<br/>d &amp;amp; e<LI class='x'>f") == ["", "A b", "c", "d &amp; e", "f"]
     assert rl.html_lines(None) == [] and rl.html_lines("") == [""]
