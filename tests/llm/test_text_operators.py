@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import leakage
+from loomwork.llm import canonical, leakage
 from loomwork.llm import near_copies as nc
 from loomwork.llm import repeated_lines as rl
 from loomwork.llm import residue
@@ -61,7 +61,7 @@ def test_distance_is_a_metric_and_the_tree_complete():
     [("port aldre, AU", 2), ("Canada - Port Alder", 1), ("Remote, Sao Tiberio", 3), ("  SÃO TIBÉRIO (on-site) ", 3), ("Greater PortAlder Area", 1), ("Brazil", None), ("Elsewhere", None), ("x" * 50_000, None)],
 )
 def test_places(raw, want):
-    found = Reference(ENTRIES).place(raw)
+    found = (hit := Reference(ENTRIES).place(raw)) and (hit[0], hit[2])
     assert (found and found[1]) == want
 
 
@@ -72,6 +72,18 @@ def test_map_values(spark):
     assert [(r[0], r[3], r[4]) for r in rows(map_values(df, canon))] == [(1, 10, 1), (1, 10, 1), (2, 10, 0), (3, 0, None), (6, 0, None)]
     assert {r[3] for r in rows(map_values(df, canon.limit(0)))} == {0}
     assert rows(map_values(df.limit(0), canon)) == []
+
+
+def test_a_list_in_shards_gives_the_same(spark, monkeypatch):
+    canon = spark.read.parquet("/root/testdata/sf0.001/canon_values.parquet")
+    places = spark.read.parquet("/root/testdata/sf0.001/lever_postings.parquet").select("ingest_id", F.lit("f").alias("field"), F.lit("place").alias("kind"), F.col("categories.location").alias("value"))
+    work = spark.read.parquet("/root/testdata/sf0.001/workable_jobs.parquet").select("ingest_id", F.lit("g").alias("field"), F.lit("employment").alias("kind"), F.col("employment_type").alias("value"))
+    values = places.unionByName(work).unionByName(work.limit(3).withColumn("kind", F.lit("other"))).unionByName(work.limit(3))
+    want = rows(map_values(values, canon))
+    monkeypatch.setattr(canonical, "SHARD_ENTRIES", 7)
+    monkeypatch.setattr(canonical, "SHARD_VALUES", 20)
+    assert rows(map_values(values, canon)) == want and len(want) > 100
+    assert rows(map_values(values.limit(0), canon)) == []
     assert compact("Łagodzin-Straße") == "lagodzinstrasse"
 
 
