@@ -1,6 +1,6 @@
 """Encoding of a whole corpus with a byte-level BPE vocabulary by corpus-level merge replay.
 
-The distinct words of a batch form one corpus of symbols. An inverted index leads from each merge to the places
+The distinct new words of a block of texts form one corpus of symbols. An inverted index leads from each merge to the places
 where its pair stands; merges are applied to the whole corpus in rank order, and each application touches only
 the two neighbours it changes. Words already encoded by a worker are remembered.
 """
@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ from loomwork.llm.words import REMEMBERED
 
 #: Default place of the vocabulary: one base64 token and its rank a line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Characters (about) whose new words are replayed together; a longer text is replayed alone.
+BLOCK_CHARS = 4_000_000
 #: Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -181,8 +185,11 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             _encoders[key] = CorpusEncoder(MergeReplay.parse(blob))
         encoder = _encoders[key]
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            # Blocks end where the texts so far pass another BLOCK_CHARS.
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            ends = np.searchsorted(chars, np.arange(BLOCK_CHARS, (chars[-1] if len(chars) else 0) + BLOCK_CHARS, BLOCK_CHARS), "right")
+            for at, end in itertools.pairwise(np.unique(np.r_[0, ends, b.num_rows]).tolist()):
+                part = b.slice(at, end - at)
                 ids, offsets = encoder.batch(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
