@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.vectors import cosine, norm
+from loomwork.operators.joins import BROADCAST_ROWS, lookup_filter
+from loomwork.session import materialize
 
 
 def words(col: Column) -> Column:
@@ -24,10 +29,26 @@ def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int, rank: str
     return scored.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def inverted_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(word, doc, tf, length): occurrences of each word in each document. Null and wordless texts have no rows."""
+def query_postings(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, word, length, tf): occurrences of the words of `wanted` (query, word) in each document of `length` words.
+
+    Words that no query has are left out before anything is shuffled, and rows are placed by document, so that sums over a
+    document need no further shuffle. Null and wordless texts have no rows; rows of one id and length add up.
+    """
     split = docs.select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("w")).withColumn("length", F.size("w"))
-    return split.select("doc", "length", F.explode("w").alias("word")).groupBy("word", "doc", "length").agg(F.count(F.lit(1)).alias("tf"))
+    hits = lookup_filter(split.select("doc", "length", F.explode("w").alias("word")), wanted.select("word").distinct(), "word")
+    return hits.repartition("doc").groupBy("doc", "word", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequencies(docs: DataFrame, wanted: DataFrame, text: str) -> tuple[DataFrame, int, float]:
+    """(word, df) of the words of `wanted`, the number of documents with words, and their mean length: one scan, no text shuffled."""
+    split = docs.select(words(F.col(text)).alias("w")).withColumn("length", F.size("w")).filter("length > 0")
+    # Each document counts once for the empty word too, which stands for all documents.
+    said = split.select("length", F.explode(F.array_append(F.array_distinct("w"), "")).alias("word"))
+    keys = wanted.select("word").union(wanted.sparkSession.createDataFrame([("",)], "word string")).distinct()
+    found = materialize(lookup_filter(said, keys, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean")), "document-frequencies")
+    total = found.filter("word = ''").first()
+    return found.filter("word <> ''").select("word", "df"), int(total["df"]) if total else 0, float(total["mean"]) if total else 1.0
 
 
 def query_words(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -35,40 +56,77 @@ def query_words(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
 
 
-def bm25(index: DataFrame, wanted: DataFrame, n_docs: int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, doc, score): BM25 of every document sharing a word with a query."""
-    df = index.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+def bm25(postings: DataFrame, wanted: DataFrame, df: DataFrame, n_docs: int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, doc, score): BM25 of every document sharing a word with a query, from query_postings and document_frequencies.
+
+    The queries' words go to every task if they are counted as few, so a word that all documents have burdens no task.
+    """
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length)))
-    weighted = wanted.join(df, "word")  # queries are few next to the index
-    return index.join(weighted, "word").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    weighted = wanted.join(df, "word").select("query", "word", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length)))
+    if weighted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        weighted = F.broadcast(weighted)
+    return postings.join(weighted, "word").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
-def all_words_match(index: DataFrame, wanted: DataFrame) -> DataFrame:
+def all_words_match(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query, doc, hits): documents holding every word of a query, with the number of occurrences."""
     need = wanted.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    held = index.join(wanted, "word").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("hits"))
+    held = postings.join(wanted, "word").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("have"), F.sum("tf").alias("hits"))
     return held.join(need, "query").filter("have = need").select("query", "doc", "hits")
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, k: int, block: int = 256) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, vec_id: str, vec: str, k: int, block: int = 4096, at_once: int = 16) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest by cosine of each query, itself left out, exactly.
 
-    Queries go to the workers in blocks of `block` vectors, each against all vectors, which are never shuffled;
-    only k rows a query and task are. Null vectors take no part; the zero vector has similarity 0.
+    Queries go to the workers in blocks of about `block` vectors, each multiplied as a matrix with all vectors, which are never
+    shuffled; only k rows a query and task are. Results of `at_once` blocks are written before the next are sent, so
+    neither driver nor workers hold more. Null vectors and vectors of another length than a query's take no part; the
+    zero vector has similarity 0; ties go to the smaller id.
     """
-    rows = queries.filter(F.col(vec).isNotNull()).select(F.col(vec_id).alias("query"), F.col(vec).alias("qv"))
-    ids = [r[0] for r in rows.select("query").orderBy("query").collect()]
-    parts = []
-    for at in range(0, len(ids), block):
-        chunk = rows.filter(F.col("query").between(ids[at], ids[min(at + block, len(ids)) - 1])).withColumn("qn", norm(F.col("qv")))
-        chunk = chunk.agg(F.collect_list(F.struct("query", "qv", "qn")).alias("qs"))  # one row of at most `block` vectors
-        pairs = vectors.filter(F.col(vec).isNotNull()).join(F.broadcast(chunk)).select(F.col(vec_id).alias("neighbour"), F.col(vec).alias("v"), F.explode("qs").alias("q"))
-        scored = pairs.filter(F.col("q.query") != F.col("neighbour")).select(F.col("q.query").alias("query"), "neighbour", cosine(F.col("v"), F.col("q.qv")).alias("similarity"))
-        parts.append(scored)
-    if not parts:
-        parts = [rows.select("query", F.col("query").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)]
-    return top_k(reduce(DataFrame.unionByName, parts), "query", "similarity", "neighbour", k)
+    asked = materialize(queries.filter(F.col(vec).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("query"), F.transform(vec, lambda x: x.cast("double")).alias("v")), "vector-queries")
+    blocks = max(1, -(-asked.count() // block))
+    held = vectors.filter(F.col(vec).isNotNull() & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    id_type = vectors.schema[vec_id].dataType.simpleString()
+    parts, done = [], []
+    for at in range(blocks):
+        mine = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == at).orderBy("query").toPandas()
+        for _, same in mine.groupby(mine["v"].map(len)):
+            shared = vectors.sparkSession.sparkContext.broadcast((same["query"].to_numpy(), _unit_rows(np.stack(same["v"].to_numpy()))))
+            parts.append(held.mapInPandas(_nearest_in(shared, k), f"query {id_type}, neighbour {id_type}, similarity double"))
+        if len(parts) >= at_once and at + 1 < blocks:
+            done.append(materialize(top_k(reduce(DataFrame.unionByName, parts), "query", "similarity", "neighbour", k).drop("rank"), "nearest"))
+            parts = []
+    every = [*done, *parts] or [held.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("similarity")).limit(0)]
+    return top_k(reduce(DataFrame.unionByName, every), "query", "similarity", "neighbour", k)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _nearest_in(shared: Broadcast, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The k nearest of a task's vectors to each query, rounded to 12 places so that equal directions tie."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = shared.value
+        best_id, best = np.empty((len(names), 0), names.dtype), np.empty((len(names), 0))
+        for b in batches:
+            b = b[b["v"].map(len) == q.shape[1]]
+            if b.empty:
+                continue
+            ids = b["id"].to_numpy()
+            score = np.round(q @ _unit_rows(np.stack(b["v"].to_numpy())).T, 12)
+            score[names[:, None] == ids[None]] = -np.inf
+            best = np.concatenate((best, score), 1)
+            best_id = np.concatenate((best_id, np.broadcast_to(ids, score.shape)), 1)
+            order = np.lexsort((best_id, -best), axis=1)[:, :k]
+            best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+        at, nth = np.nonzero(best > -np.inf)
+        yield pd.DataFrame({"query": names[at], "neighbour": best_id[at, nth], "similarity": best[at, nth]})
+
+    return run
 
 
 def reciprocal_rank_fusion(rankings: dict[str, DataFrame], k: int = 60, limit: int = 120) -> DataFrame:

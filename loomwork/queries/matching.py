@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.vectors import cosine, unit
 from loomwork.operators import evaluation as ev
 from loomwork.operators import matching as m
+from loomwork.operators.joins import lookup_filter
 from loomwork.queries import Registry
 from loomwork.session import materialize, table
 
@@ -24,16 +25,16 @@ from ix join qw using (word) join dfs using (word), st group by 1, 2),
 br as (select query, doc, round(score, 4) as score from bm), bk as (select *, row_number() over (partition by query order by score desc, doc) as rank from br)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The documents' inverted index, written once, and the evaluation items' words."""
-    index = materialize(m.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text"), "inverted-index")
-    return index, m.query_words(table(spark, sf_dir, "eval_items"), "item_id", "text")
+def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' occurrences of the evaluation items' words, and these words by item."""
+    wanted = m.query_words(table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return m.query_postings(table(spark, sf_dir, "documents"), wanted, "doc_id", "text"), wanted
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index, wanted = _index(spark, sf_dir)
-    stats = index.select("doc", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    scored = m.bm25(index, wanted, int(stats["n"]), float(stats["mean"] or 1.0)).withColumn("score", F.round("score", 4))
+    postings, wanted = _postings(spark, sf_dir)
+    df, n, mean = m.document_frequencies(table(spark, sf_dir, "documents").filter("doc_id is not null"), wanted, "text")
+    scored = m.bm25(postings, wanted, df, n, mean).withColumn("score", F.round("score", 4))
     return m.top_k(scored, "query", "score", "doc", k)
 
 
@@ -47,7 +48,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 select query, doc, cast(sum(tf) as bigint) as hits from ix join qw using (word) join need using (query) group by query, doc, need having count(*) = need""")
 def lexical_all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents holding every word of an evaluation item."""
-    return m.all_words_match(*_index(spark, sf_dir))
+    return m.all_words_match(*_postings(spark, sf_dir))
 
 
 _VECTORS = """qs as (select vec_id as query, embedding::double[] as qv from embeddings where vec_id % 100 = 0),
@@ -81,7 +82,8 @@ ok as (select *, row_number() over (partition by query order by score desc, doc)
 
 
 def _reranked(spark: SparkSession, sf_dir: str, found: DataFrame, k: int) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), m.words(F.col("text")).alias("w"))
+    docs = lookup_filter(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), found.select("doc").distinct(), "doc")
+    words = docs.select("doc", m.words(F.col("text")).alias("w"))
     asked = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query"), m.words(F.col("text")).alias("q"))
     scored = words.join(found.select("query", "doc"), "doc").join(asked, "query").select("query", "doc", m.overlap_score(F.col("q"), F.col("w")).alias("score"))
     return m.top_k(scored, "query", "score", "doc", k)
@@ -90,7 +92,7 @@ def _reranked(spark: SparkSession, sf_dir: str, found: DataFrame, k: int) -> Dat
 @registry.query(sql=f"with {_BM25}, {_OVERLAP} select query, doc, rank from ok where rank <= 25")
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents by BM25 reranked by word overlap, 25 kept."""
-    return _reranked(spark, sf_dir, _bm25(spark, sf_dir, 50), 25).select("query", "doc", "rank")
+    return _reranked(spark, sf_dir, materialize(_bm25(spark, sf_dir, 50), "bm25"), 25).select("query", "doc", "rank")
 
 
 @registry.query(sql=f"""with {_BM25}, {_OVERLAP}, u as (select query, doc, 'bm25' as name, rank from bk where rank <= 50 union all select query, doc, 'overlap', rank from ok where rank <= 50),

@@ -50,7 +50,9 @@ def test_retrieval_against_brute_force(spark):
     texts = {1: "red fox and red dog", 2: "a red fox", 3: None, 4: "", 5: "blue dog"}
     docs = spark.createDataFrame(list(texts.items()), "id int, text string")
     queries = spark.createDataFrame([(9, "red fox"), (8, "dog"), (7, None)], "q int, text string")
-    index, wanted = m.inverted_index(docs, "id", "text"), m.query_words(queries, "q", "text")
+    wanted = m.query_words(queries, "q", "text")
+    index = m.query_postings(docs, wanted, "id", "text")
+    df, n, average = m.document_frequencies(docs, wanted, "text")
     assert rows(m.all_words_match(index, wanted)) == [(8, 1, 1), (8, 5, 1), (9, 1, 3), (9, 2, 2)]
     split = {i: t.split() for i, t in texts.items() if t}
     mean = sum(map(len, split.values())) / len(split)
@@ -63,14 +65,27 @@ def test_retrieval_against_brute_force(spark):
             total += math.log(1 + (3 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(split[d]) / mean))
         return total
 
-    got = {(q, d): s for q, d, s in rows(m.bm25(index, wanted, 3, mean))}
+    assert (n, average) == (3, mean) and m.document_frequencies(docs.limit(0), wanted, "text")[1:] == (0, 1.0)
+    got = {(q, d): s for q, d, s in rows(m.bm25(index, wanted, df, n, mean))}
     assert got.keys() == {(9, 1), (9, 2), (8, 1), (8, 5)} and all(abs(s - score({9: "red fox", 8: "dog"}[q], d)) < 1e-9 for (q, d), s in got.items())
 
 
+def test_a_word_of_all_documents_meets_no_single_task(spark):
+    docs = spark.range(5000, numPartitions=4).select("id", F.concat(F.lit("the the the w"), F.col("id").cast("string")).alias("text"))
+    wanted = m.query_words(spark.createDataFrame([(1, "the w7"), (2, "the")], "q int, text string"), "q", "text")
+    df, n, mean = m.document_frequencies(docs, wanted, "text")
+    scored = m.bm25(m.query_postings(docs, wanted, "id", "text"), wanted, df, n, mean)
+    sizes = [r["count"] for r in scored.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+    assert sum(sizes) == 10_000 and (len(sizes) == 1 or max(sizes) < 6_000)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query" not in plan and "hashpartitioning(doc" in plan
+
+
 def test_vectors(spark):
     vecs = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(20)] + [(90, [0.0] * 3), (91, None)], "id int, v array<double>")
-    near = m.nearest_vectors(vecs, vecs.filter("id % 5 = 0"), "id", "v", 3, block=2)
+    near = m.nearest_vectors(vecs, vecs.filter("id % 5 = 0"), "id", "v", 3, block=2, at_once=1)
     data = {i: np.array([i % 3, 1, i], float) for i in range(20)} | {90: np.zeros(3)}
+    assert near.count() == 15
     for q, n, s, r in rows(near):
         sims = sorted(((-(data[q] @ v) / ((np.linalg.norm(data[q]) * np.linalg.norm(v)) or 1), i) for i, v in data.items() if i != q))
         assert n == sims[r - 1][1] and abs(s + sims[r - 1][0]) < 1e-9
