@@ -6,7 +6,6 @@ Line-by-line rules with memory have no built-in form, so these are Arrow-batched
 from __future__ import annotations
 
 import re
-from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column
@@ -143,26 +142,83 @@ def min_years(col: pd.Series) -> pd.Series:
     return col.map(years_stated).astype("float64")
 
 
+# Wordings of sponsorship, a line that is a name, headings that are none, and what must not be left after redaction.
+SPONSORSHIP_OFFERED = r"(?i)\b(?:visa sponsorship (?:is )?(?:available|provided|offered)|we sponsor|sponsorship (?:is )?available|relocation (?:package|support) (?:is )?(?:available|provided))\b"
+SPONSORSHIP_REFUSED = r"(?i)\b(?:no (?:visa )?sponsorship|unable to sponsor|cannot sponsor|sponsorship is not (?:available|provided)|must be authoriz?sed to work)\b"
+NAME_LINE = re.compile(r"^[^\W\d_][\w'؀-ۿ.-]*(?:\s+[^\W\d_][\w'؀-ۿ.-]*){1,3}$")
+NO_NAMES = ["curriculum vitae", "cv", "resume", "résumé"]
+RESIDUAL = ["EMAIL", "PHONE", "NATIONAL_ID"]
+
+
+def sponsorship(text: Column) -> Column:
+    """Whether sponsorship is offered: false where it is refused, true where it is offered, null where neither is said."""
+    return F.when(text.rlike(SPONSORSHIP_REFUSED), False).when(text.rlike(SPONSORSHIP_OFFERED), True)
+
+
+def header_name(text: str | None) -> str | None:
+    """The first of the first six lines that looks like a name of two to four words, by itself on its line; None if none does."""
+    for line in (text or "").splitlines()[:6]:
+        bare = line.strip().strip("|·—-").strip()
+        if 0 < len(bare) <= 60 and bare.lower() not in NO_NAMES and NAME_LINE.match(bare) and not any(c.isdigit() for c in bare):
+            return bare
+    return None
+
+
+def redacted_with_names(text: str | None, name: str | None = None) -> tuple[str, dict[str, str]]:
+    """redacted, and the name (as known, else of the header) as [[NAME_1]]; with the value of each placeholder."""
+    out, values = text or "", {}
+    for label, pattern in PERSONAL:
+        out = _placeholders(out, label, pattern, values)
+    person = (name or header_name(text) or "").strip()
+    if person and (whole := re.compile(rf"\b{re.escape(person)}\b", re.I)).search(out):
+        out, values["[[NAME_1]]"] = whole.sub("[[NAME_1]]", out), person
+    return out, values
+
+
+def restored(text: str, values: dict[str, str]) -> str:
+    """A redacted text with the values of its placeholders put back."""
+    return re.sub(r"\[\[[A-Z_]+_\d+\]\]", lambda m: values.get(m.group(), m.group()), text)
+
+
+@pandas_udf(T.StructType().add("text", _TEXT).add("values", T.MapType(_TEXT, _TEXT)).add("left", T.ArrayType(_TEXT)))
+def redact_names(text: pd.Series, name: pd.Series) -> pd.DataFrame:
+    """redacted_with_names of each pair, and the kinds of personal data that still match; the empty text for null."""
+    rows = []
+    for t, n in zip(text, name, strict=True):
+        out, values = redacted_with_names(t, n)
+        rows.append((out, values, [label for label, pattern in PERSONAL if label in RESIDUAL and any(_is_personal(label, m.group()) for m in pattern.finditer(out))]))
+    return pd.DataFrame(rows, columns=["text", "values", "left"])
+
+
+def _is_personal(label: str, value: str) -> bool:
+    """Whether what a pattern found counts: a phone has enough digits, more if nothing separates them."""
+    return label != "PHONE" or sum(c.isdigit() for c in value) >= (BARE_PHONE_DIGITS if value.isdigit() else PHONE_DIGITS)
+
+
+def _placeholders(text: str, label: str, pattern: re.Pattern[str], values: dict[str, str]) -> str:
+    """The text with a pattern's values as placeholders, numbered by distinct value, which are noted in `values`."""
+    seen: dict[str, str] = {}
+
+    def place(m: re.Match) -> str:
+        value = m.group()
+        if not _is_personal(label, value):
+            return value
+        if value not in seen:
+            seen[value] = f"[[{label}_{len(seen) + 1}]]"
+            values[seen[value]] = value
+        return seen[value]
+
+    return pattern.sub(place, text)
+
+
 def redacted(text: str | None) -> tuple[str, dict[str, int]]:
     """The text with personal data as numbered placeholders, one number a distinct value and kind, and the distinct values of each kind."""
-    counts: dict[str, int] = {}
-    out = text or ""
+    out, counts = text or "", {}
     for label, pattern in PERSONAL:
-        seen: dict[str, str] = {}
-        numbers = count(1)
-
-        def place(m: re.Match, label: str = label, seen: dict = seen, numbers: count = numbers) -> str:
-            value = m.group()
-            digits = sum(c.isdigit() for c in value)
-            if label == "PHONE" and digits < (BARE_PHONE_DIGITS if value.isdigit() else PHONE_DIGITS):
-                return value
-            if value not in seen:
-                seen[value] = f"[[{label}_{next(numbers)}]]"
-            return seen[value]
-
-        out = pattern.sub(place, out)
-        if seen:
-            counts[label] = len(seen)
+        values: dict[str, str] = {}
+        out = _placeholders(out, label, pattern, values)
+        if values:
+            counts[label] = len(values)
     return out, counts
 
 

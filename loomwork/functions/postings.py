@@ -132,6 +132,20 @@ def canonical_url(url: Column) -> Column:
     )
 
 
+def without_parameters(url: Column, dropped: list[str]) -> Column:
+    """An address without the query parameters named, all else as written; with ANALYTICS, for a link that a person opens."""
+    bare = F.trim(url)
+    kept = F.filter(F.split(F.regexp_extract(bare, r"\?([^#]*)", 1), "&"), lambda p: ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(dropped))
+    query = F.array_join(kept, "&")
+    without = F.concat(F.regexp_extract(bare, r"^([^?#]*)", 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.regexp_extract(bare, "(#.*)$", 1))
+    return F.when(F.contains(bare, F.lit("?")), without).otherwise(bare)
+
+
+def company_domain(*candidates: Column) -> Column:
+    """The first candidate's registrable domain that isn't a host shared by many employers; null if none is."""
+    return F.coalesce(*[F.when(~is_shared_host(c), registrable_domain(c)) for c in candidates])
+
+
 _BLOCK_BREAK = re.compile(r"<br\s*/?>|</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table)\s*>", re.IGNORECASE)
 _HIDDEN = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL)
 _ITEM = re.compile(r"<li\b[^>]*>", re.IGNORECASE)

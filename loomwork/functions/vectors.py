@@ -59,3 +59,15 @@ def fingerprint(text: str | None) -> int:
 def simhash(col: pd.Series) -> pd.Series:
     """fingerprint of a column, in Arrow batches; null gives 0."""
     return col.map(fingerprint)
+
+
+def parse_vector(literal: Column) -> Column:
+    """Numbers of a vector written as [a,b,...]; an empty array for empty brackets, null for null and for what isn't one."""
+    inner = F.regexp_extract(F.trim(literal), r"^\[?([^\[\]]*)\]?$", 1)
+    parts = F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("double"))
+    return F.when(literal.isNull() | F.exists(parts, lambda x: x.isNull()) & (F.trim(inner) != ""), None).when(F.trim(inner) == "", F.array().cast("array<double>")).otherwise(parts)
+
+
+def vector_literal(vector: Column) -> Column:
+    """A vector as [a,b,...] with six places each."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))

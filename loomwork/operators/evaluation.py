@@ -33,6 +33,37 @@ def ranking_metrics(ranked: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def macro_average(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the mean of each metric over the queries, each query counting once, rounded to 4, and their number; 0 without queries."""
+    return metrics.agg(*[F.round(F.coalesce(F.avg(n), F.lit(0.0)), 4).alias(n) for n in names], F.count(F.lit(1)).alias("queries"))
+
+
+def metrics_by_cell(ranked: DataFrame, cell: list[str], least: int = 20) -> DataFrame:
+    """Per cell of (query, rank, grade, *cell): queries, pairs, and the mean ndcg of rankings of the cell's rows alone; null under `least` pairs."""
+    place = F.row_number().over(Window.partitionBy("query", *cell).orderBy("rank"))
+    names = [*cell, "query"]
+    alone = ranked.withColumn("rank", place).withColumn("__q", F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in names]))
+    scored = ranking_metrics(alone.select(F.col("__q").alias("query"), "rank", "grade")).select(F.col("query").alias("__q"), "ndcg")
+    sizes = alone.groupBy("__q", *cell).agg(F.count(F.lit(1)).alias("pairs"))
+    both = sizes.join(scored, "__q").groupBy(*cell).agg(F.count(F.lit(1)).alias("queries"), F.sum("pairs").alias("pairs"), F.avg("ndcg").alias("ndcg"))
+    return both.select(*cell, "queries", "pairs", F.when(F.col("pairs") >= least, F.round("ndcg", 4)).alias("ndcg"))
+
+
+def separation(scored: DataFrame, group: str, inside: Column, score: str, least: float) -> DataFrame:
+    """(group, mean_in, mean_out, passed): whether a score tells what belongs from what doesn't by at least `least`; null without both kinds."""
+    means = scored.groupBy(group).agg(F.avg(F.when(inside, F.col(score))).alias("i"), F.avg(F.when(~inside, F.col(score))).alias("o"))
+    return means.select(group, F.round("i", 4).alias("mean_in"), F.round("o", 4).alias("mean_out"), (F.round(F.col("i") - F.col("o"), 6) >= least).alias("passed"))
+
+
+def derangement(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:
+    """`pairs` with `other`: the right side of the next pair of the group in the order of a hash of `left`, the first one's for the last; no pair keeps its own unless it is alone.
+
+    A fixed reassignment that repeats whenever it is run. A group is sorted in one task, so groups are samples to be judged.
+    """
+    w = Window.partitionBy(group).orderBy(F.md5(F.col(left).cast("string")), left)
+    return pairs.withColumn("other", F.coalesce(F.lead(right).over(w), F.first(right).over(w)))
+
+
 def cohens_kappa(pairs: DataFrame, group: str) -> DataFrame:
     """(group, n, kappa) of two raters' labels (a, b); 1 where chance agreement is complete. Rows with a null label are left out."""
     known = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull())

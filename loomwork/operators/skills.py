@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from loomwork.operators.entities import ratio
 
 #: Length from which a name may match by similarity, and the similarity it takes.
 FUZZY_LENGTH, FUZZY_RATIO = 5, 0.82
-#: Taxonomy names up to which they are sent to every worker.
+#: Taxonomy names that are sent to every task at a time.
 MOST_NAMES = 200_000
 DIMENSIONS = 384
 
@@ -66,49 +67,96 @@ def resolve_skills(tokens: DataFrame, taxonomy: DataFrame) -> DataFrame:
     spelt = rest.select("token", F.explode(_spellings("alias")).alias("form")).join(forms, "form").groupBy("token").agg(F.min("canonical_name").alias("canonical_name"))
     spelt = spelt.select("token", "canonical_name", F.lit("orthographic").alias("method"), F.lit(0.95).alias("confidence"))
     rest = rest.join(spelt.select("token"), "token", "left_anti")
-    known = names.limit(MOST_NAMES + 1).collect()
-    if len(known) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} taxonomy names")
-    shared = tokens.sparkSession.sparkContext.broadcast([tuple(r) for r in known])
+    blocks = max(1, -(-names.count() // MOST_NAMES))
+    tried = [_most_alike(rest, names.filter(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == i)) for i in range(blocks)]
+    best = reduce(DataFrame.unionByName, tried).groupBy("token").agg(F.max(F.struct("score", "name")).alias("b"))
+    sure = F.col("b.score") >= FUZZY_RATIO
+    fuzzy = best.select("token", F.when(sure, F.col("b.name")).alias("canonical_name"), F.when(sure, "fuzzy").otherwise("unmapped").alias("method"), F.when(sure, F.round("b.score", 4)).otherwise(0.0).alias("confidence"))
+    return exact.unionByName(spelt).unionByName(fuzzy)
+
+
+def _most_alike(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, name, score): the most alike name of a block for each (token, alias), 0.0 and no name where lengths rule all out."""
+    shared = tokens.sparkSession.sparkContext.broadcast([tuple(r) for r in names.select("alias", "canonical_name").collect()])
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for token, alias in zip(b["token"], b["alias"], strict=True):
                 close = [(ratio(alias, a), c) for a, c in shared.value if min(len(a), len(alias)) >= FUZZY_LENGTH and abs(len(a) - len(alias)) <= 0.25 * len(alias) + 2]
-                score, name = max(close, key=lambda x: (x[0], x[1]), default=(0.0, None))
-                out.append((token, name, "fuzzy", round(score, 4)) if score >= FUZZY_RATIO else (token, None, "unmapped", 0.0))
-            yield pd.DataFrame(out, columns=["token", "canonical_name", "method", "confidence"])
+                score, name = max(close, default=(0.0, None))
+                out.append((token, name, score))
+            yield pd.DataFrame(out, columns=["token", "name", "score"])
 
-    fuzzy = rest.select("token", "alias").mapInPandas(near, "token string, canonical_name string, method string, confidence double")
-    return exact.unionByName(spelt).unionByName(fuzzy)
+    return tokens.select("token", "alias").mapInPandas(near, "token string, name string, score double")
+
+
+def _words(text: str, names: Container[str]) -> list[str]:
+    """Words of a text as they are looked for: without dots around them unless a name has them."""
+    return [w.strip(".") if w.strip(".") in names or w not in names else w for w in skill_key(text).split()]
+
+
+def _longest_first(hits: list[tuple[int, int, str]]) -> list[str]:
+    """Names of (words, place, name) hits: longer ones first, then earlier ones, each place used once; sorted."""
+    used: set[int] = set()
+    found = set()
+    for n, at, name in sorted(hits, key=lambda h: (-h[0], h[1])):
+        if used.isdisjoint(span := range(at, at + n)):
+            used.update(span)
+            found.add(name)
+    return sorted(found)
 
 
 def skills_in(docs: DataFrame, taxonomy: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, canonical_name): skills whose name or alias stands in the text as whole words, longer names first, each place used once. Null texts have none."""
-    known = taxonomy_names(taxonomy).limit(MOST_NAMES + 1).collect()
-    if len(known) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} taxonomy names")
-    shared = docs.sparkSession.sparkContext.broadcast({r["alias"]: r["canonical_name"] for r in known})
+    """(doc, canonical_name): skills whose name or alias stands in the text as whole words, longer names first, each place used once. Null texts have none.
+
+    Up to MOST_NAMES names go to every task and no text is shuffled; of more, the runs of words of each text meet the names by a join.
+    """
+    names = taxonomy_names(taxonomy)
+    given = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("t"))
     kind = docs.schema[doc_id].dataType.simpleString()
+    if names.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        return _skills_by_join(given, names, kind)
+    shared = docs.sparkSession.sparkContext.broadcast({r["alias"]: r["canonical_name"] for r in names.collect()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = shared.value
-        longest = max((len(a.split()) for a in names), default=0)
+        known = shared.value
+        longest = max((len(a.split()) for a in known), default=0)
         for b in batches:
             out = []
             for key, t in zip(b["doc"], b["t"], strict=True):
-                words = [w.strip(".") if w.strip(".") in names or w not in names else w for w in skill_key(t).split()]
-                used, found = np.zeros(len(words), bool), set()
-                for n in range(longest, 0, -1):
-                    for i in range(len(words) - n + 1):
-                        if not used[i : i + n].any() and (name := names.get(" ".join(words[i : i + n]))):
-                            used[i : i + n] = True
-                            found.add(name)
-                out += [(key, name) for name in sorted(found)]
+                words = _words(t, known)
+                runs = ((n, i, known.get(" ".join(words[i : i + n]))) for n in range(1, longest + 1) for i in range(len(words) - n + 1))
+                out += [(key, name) for name in _longest_first([h for h in runs if h[2]])]
             yield pd.DataFrame(out, columns=["doc", "canonical_name"])
 
-    return docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).mapInPandas(run, f"doc {kind}, canonical_name string")
+    return given.mapInPandas(run, f"doc {kind}, canonical_name string")
+
+
+def _skills_by_join(given: DataFrame, names: DataFrame, kind: str) -> DataFrame:
+    """skills_in for any number of names. A run of words is looked for with and without the dots around its words."""
+    longest = int(names.agg(F.max(F.size(F.split("alias", " ")))).first()[0])
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, t in zip(b["doc"], b["t"], strict=True):
+                words = skill_key(t).split()
+                for n in range(1, longest + 1):
+                    for i in range(len(words) - n + 1):
+                        ways = {" ".join(words[i : i + n]), " ".join(w.strip(".") for w in words[i : i + n])}
+                        out += [(key, n, i, a) for a in ways]
+            yield pd.DataFrame(out, columns=["doc", "n", "at", "alias"])
+
+    hits = given.mapInPandas(runs, f"doc {kind}, n int, at int, alias string").join(names, "alias")
+    grouped = hits.groupBy("doc").agg(F.collect_set(F.struct("n", "at", "canonical_name")).alias("hits"))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_longest_first([(h["n"], h["at"], h["canonical_name"]) for h in hits]) for hits in b["hits"]]
+            yield pd.DataFrame([(key, name) for key, names in zip(b["doc"], found, strict=True) for name in names], columns=["doc", "canonical_name"])
+
+    return grouped.mapInPandas(pick, f"doc {kind}, canonical_name string")
 
 
 def coverage(wanted: DataFrame, held: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 import pytest
 
-from loomwork.queries import matching, problems, snapshots
+from loomwork.queries import matching, problems, reports, snapshots
 from tests.oracle import SF, oracle, result
 
-QUERIES = {k: q for r in (problems.registry, matching.registry, snapshots.registry) for k, q in r.queries.items()}
-SQL = {k: q for r in (problems.registry, matching.registry, snapshots.registry) for k, q in r.sql.items()}
+REGISTRIES = (problems.registry, matching.registry, snapshots.registry, reports.registry)
+QUERIES = {k: q for r in REGISTRIES for k, q in r.queries.items()}
+SQL = {k: q for r in REGISTRIES for k, q in r.sql.items()}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

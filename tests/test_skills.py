@@ -34,6 +34,23 @@ def test_mentions_coverage_and_alignment(spark, tax):
     assert rows(sk.alignment(e, o)) == [("q", 1, 7, 1.0, "met"), ("q", 2, 7, 0.0, "unmet")]
 
 
+def test_more_names_than_go_to_a_task(spark, tax, monkeypatch):
+    docs = spark.createDataFrame([(1, "Uses Python3, node.js. And machine  learning"), (2, None), (3, "pythonic only. Node.js."), (4, "C#, c#"), (5, "")], "id int, text string")
+    tokens = spark.createDataFrame([(t,) for t in ("Machine lerning", "Pithon3", "basket weaving", "c#")], "token string")
+    held, resolved = rows(sk.skills_in(docs, tax, "id", "text")), rows(sk.resolve_skills(tokens, tax))
+    monkeypatch.setattr(sk, "MOST_NAMES", 2)
+    assert rows(sk.skills_in(docs, tax, "id", "text")) == held and rows(sk.resolve_skills(tokens, tax)) == resolved and len(held) == 5
+
+
+def test_redaction_of_names():
+    cv = "Curriculum Vitae\nSam O'Neil | \nsam@mail.example, 0100 123 4567\nSAM O'NEIL led sam@mail.example"
+    out, values = ex.redacted_with_names(cv)
+    assert out == "Curriculum Vitae\n[[NAME_1]] | \n[[EMAIL_1]], [[PHONE_1]]\n[[NAME_1]] led [[EMAIL_1]]"
+    assert ex.restored(out, values).lower() == cv.lower() and ex.restored("[[NAME_9]]", values) == "[[NAME_9]]"
+    assert ex.header_name("12 Main\nx@y.zz\nAna Maria\n") == "Ana Maria" and ex.header_name("one") is None and ex.header_name(None) is None
+    assert ex.redacted_with_names("met Ana Li", "Ana Li") == ("met [[NAME_1]]", {"[[NAME_1]]": "Ana Li"}) and ex.redacted_with_names(None) == ("", {})
+
+
 def test_vectors_and_claims(spark):
     a, b = sk.hashed_vector("Data engineer"), sk.hashed_vector("data ENGINEER!")
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9 and set(sk.hashed_vector(None)) == {0.0}
