@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 1 << 21
 #: Members that hold the answer where it comes wrapped in an envelope.
 ENVELOPES = ("data", "result", "response", "payload")
+#: A job's id by adapter, where it isn't `id`, and the member that lists an answer's jobs, where it isn't `jobs`.
+ID_NAMES = {"workable": b"shortcode"}
+LISTED_IN = {"smartrecruiters": b"content", "recruitee": b"offers"}
 
 QUOTE, PRIMITIVE = 1, 2
 _OPEN, _CLOSE = np.frombuffer(b"{[", np.uint8), np.frombuffer(b"}]", np.uint8)
@@ -254,18 +257,20 @@ class Reader:
         return self.ix.kind[t] == PRIMITIVE or len(self.children(t)) > 0
 
 
-def _jobs(r: Reader, root: int, adapter: str) -> Iterator[int]:
-    while r.ix.kind[root] == 123 and r.member(root, b"jobs") is None:  # envelopes within envelopes
+def _jobs(r: Reader, root: int, adapter: str) -> Iterator[tuple[int, int]]:
+    """(place, token) of each job of an answer."""
+    name = LISTED_IN.get(adapter, b"jobs")
+    while r.ix.kind[root] == 123 and r.member(root, name) is None:  # envelopes within envelopes
         inner = next((m for e in ENVELOPES if (m := r.member(root, e.encode())) is not None and r.ix.kind[m] in (123, 91)), None)
         if inner is None:
             break
         root = inner
-    listed = r.member(root, b"jobs")
+    listed = r.member(root, name)
     if listed is None and adapter == "lever":
         listed = root
-    for _, job in r.elements(listed):
+    for place, job in r.elements(listed):
         if r.ix.kind[job] == 123:
-            yield job
+            yield place, job
 
 
 def _children(r: Reader, job: int, adapter: str) -> Iterator[tuple[str, int, int, int]]:
@@ -296,8 +301,18 @@ def _children(r: Reader, job: int, adapter: str) -> Iterator[tuple[str, int, int
                 yield "location", p, 0, v
 
 
-def extract(payloads: Iterable[tuple[int, str | None, str | None]]) -> Iterator[tuple]:
-    """(payload_id, job_id, child, pos1, pos2, value) rows of (payload_id, adapter, payload) triples."""
+def _child_rows(r: Reader, pid: int, adapter: str, place: int, job: int) -> Iterator[tuple]:
+    job_id = r.text(r.member(job, ID_NAMES.get(adapter, b"id")))
+    for child, p, q, t in _children(r, job, adapter):
+        yield pid, job_id, child, p, q, r.ix.span(t).decode("utf-8", "replace")
+
+
+def _job_row(r: Reader, pid: int, adapter: str, place: int, job: int) -> Iterator[tuple]:
+    yield pid, adapter, place, r.text(r.member(job, ID_NAMES.get(adapter, b"id"))), r.ix.span(job).decode("utf-8", "replace")
+
+
+def extract(payloads: Iterable[tuple[int, str | None, str | None]], rows: Callable[[Reader, int, str, int, int], Iterator[tuple]] = _child_rows) -> Iterator[tuple]:
+    """(payload_id, job_id, child, pos1, pos2, value) rows of (payload_id, adapter, payload) triples, or what `rows` makes of each job."""
     chunk: list[tuple[int, str, bytes]] = []
     size = 0
     for pid, adapter, payload in payloads:
@@ -305,15 +320,15 @@ def extract(payloads: Iterable[tuple[int, str | None, str | None]]) -> Iterator[
             continue
         raw = payload.encode("utf-8", "replace")
         if chunk and size + len(raw) > CHUNK_BYTES:
-            yield from _extract_chunk(chunk)
+            yield from _extract_chunk(chunk, rows)
             chunk, size = [], 0
         chunk.append((pid, adapter, raw))
         size += len(raw)
     if chunk:
-        yield from _extract_chunk(chunk)
+        yield from _extract_chunk(chunk, rows)
 
 
-def _extract_chunk(chunk: list[tuple[int, str, bytes]]) -> Iterator[tuple]:
+def _extract_chunk(chunk: list[tuple[int, str, bytes]], rows: Callable) -> Iterator[tuple]:
     while chunk:
         ix = index([raw.removeprefix(b"\xef\xbb\xbf") for _, _, raw in chunk])
         r = Reader(ix)
@@ -323,11 +338,8 @@ def _extract_chunk(chunk: list[tuple[int, str, bytes]]) -> Iterator[tuple]:
             if ix.kind[root] == QUOTE:  # encoded once more; each round is shorter than the last
                 again.append((pid, adapter, r.load(root).encode("utf-8", "replace")))
                 continue
-            id_name = b"shortcode" if adapter == "workable" else b"id"
-            for job in _jobs(r, root, adapter):
-                job_id = r.text(r.member(job, id_name))
-                for child, p, q, t in _children(r, job, adapter):
-                    yield pid, job_id, child, p, q, ix.span(t).decode("utf-8", "replace")
+            for place, job in _jobs(r, root, adapter):
+                yield from rows(r, pid, adapter, place, job)
         chunk = again
 
 
@@ -357,3 +369,17 @@ def child_rows(payloads: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=CHILD_SCHEMA.names)
 
     return payloads.select("payload_id", "adapter", "payload").mapInPandas(run, CHILD_SCHEMA)
+
+
+def job_rows(payloads: DataFrame) -> DataFrame:
+    """(payload_id, adapter, pos, job_id, job) of every job in payloads (payload_id, adapter, payload): its place in the answer from 0, and its JSON text.
+
+    What holds for child_rows of null, wrong, wrapped and repeated payloads holds here. No shuffle.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = list(extract(zip(b["payload_id"].tolist(), b["adapter"].tolist(), b["payload"].tolist(), strict=True), _job_row))
+            yield pd.DataFrame(rows, columns=["payload_id", "adapter", "pos", "job_id", "job"])
+
+    return payloads.select("payload_id", "adapter", "payload").mapInPandas(run, "payload_id bigint, adapter string, pos int, job_id string, job string")

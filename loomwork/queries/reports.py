@@ -406,7 +406,7 @@ def mixed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", script.is_mixed_script(F.col("text")).alias("mixed"))
 
 
-@registry.query(sql=f"""with s as (select doc_id, text, split_part(trim(text), chr(10), 1) as q from documents where text is not null)
+@registry.query(sql=f"""with s as (select doc_id, text, split_part(trim(text, ' '), chr(10), 1) as q from documents where text is not null)
 select doc_id, case when regexp_replace(q, '{_WS}', '', 'g') <> '' then instr(text, q) - 1 end as start from s""")
 def grounded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the first line of each document stands in it: a quote found again in its source."""

@@ -22,6 +22,7 @@ from loomwork.operators.joins import lookup_join
 from loomwork.operators.skills import alignment, coverage, hash_embedding, skills_in, unsupported_claims
 from loomwork.queries import Registry
 from loomwork.session import materialize, table
+from loomwork.sources import feeds
 from loomwork.sources.feeds import ADAPTERS, normalized_postings, pay_range
 from loomwork.streaming.ingest import drain, windowed_counts
 
@@ -171,6 +172,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized_postings(spark, sf_dir).withColumn("n_chars", F.length("description")).withColumn("body_md5", F.md5("description")).drop("description")
 
 
+@registry.query()
+def payload_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of all raw answers in the one schema, bodies as their length and digest."""
+    made = feeds.payload_postings(table(spark, sf_dir, "raw_payloads"))
+    return made.withColumn("n_chars", F.length("description")).withColumn("body_md5", F.md5("description")).drop("description")
+
+
 @registry.query(sql=" union all ".join(f"select '{n}' as source, count(*) as n_rows, count(distinct board) as boards, max(ingest_id) as last_ingest from {t}" for n, (t, _) in ADAPTERS.items()))
 def source_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, boards and the last ingest of every feed."""

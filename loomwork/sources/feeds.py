@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.postings import employment, html_to_text, normalize_title, seniority, workplace
 from loomwork.functions.script import script_language
+from loomwork.operators.nested_json import job_rows
 from loomwork.session import table
 
 #: Columns of a normalized posting.
@@ -86,6 +87,10 @@ ADAPTERS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
+#: Adapters by the name that raw answers carry.
+JOB_ADAPTERS = {name: adapter for name, (_, adapter) in ADAPTERS.items()} | {"recruitee": recruitee}
+
+
 def normalized_postings(spark: SparkSession, sf_dir: str, feeds: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """The postings of some or all feeds in one schema, with columns that the feeds' tables share and `keep` names. An unknown feed raises."""
     names = feeds or list(ADAPTERS)
@@ -103,6 +108,32 @@ def normalized_postings(spark: SparkSession, sf_dir: str, feeds: list[str] | Non
     return reduce(DataFrame.unionByName, [made(n) for n in names])
 
 
+# The members of a job that the adapters read, as feeds write them.
+JOB_SCHEMAS = {
+    "greenhouse": "id string, title string, absolute_url string, content string, location struct<name string>, offices array<struct<name string>>, first_published string, updated_at string",
+    "lever": "id string, text string, descriptionPlain string, lists array<struct<text string, content string>>, additionalPlain string, categories struct<location string, commitment string>, workplaceType string, createdAt string, hostedUrl string, applyUrl string",
+    "ashby": "id string, title string, location string, isRemote boolean, employmentType string, publishedAt string, jobUrl string, applyUrl string, descriptionPlain string",
+    "workable": "shortcode string, title string, url string, application_url string, employment_type string, telecommuting boolean, published_on string, description string, city string, country string",
+    "smartrecruiters": "id string, name string, location struct<fullLocation string, remote boolean>, typeOfEmployment struct<label string>, releasedDate string",
+    "recruitee": "id string, title string, description string, requirements string, location string, city string, country_code string, remote boolean, employment_type_code string, careers_url string, careers_apply_url string, published_at string, created_at string",
+}
+
+
+def payload_postings(payloads: DataFrame) -> DataFrame:
+    """The postings of raw answers (payload_id, adapter, payload) in the one schema, with payload_id as ingest_id and their place `pos` in the answer.
+
+    Stored answers can be replayed by this at any time. Members that are absent or of another type are null; adapters that are unknown give no rows.
+    """
+    jobs = job_rows(payloads)
+
+    def made(name: str, adapter: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        read = jobs.filter(F.col("adapter") == name).select(F.struct("payload_id", "pos").alias("ingest_id"), F.from_json("job", JOB_SCHEMAS[name], {"allowNumericLeadingZeros": "false"}).alias("j"))
+        rows = adapter(read.select("ingest_id", "j.*"))
+        return rows.withColumns({"pos": F.col("ingest_id.pos"), "ingest_id": F.col("ingest_id.payload_id")})
+
+    return reduce(DataFrame.unionByName, [made(name, adapter) for name, adapter in JOB_ADAPTERS.items()])
+
+
 def pay_range(df: DataFrame) -> DataFrame:
     """(ingest_id, min_value, max_value, currency): the first salary component with a bound of an ashby row; rows without one are left out."""
     parts = F.flatten(F.transform("compensation.compensationTiers", lambda t: F.coalesce(t["components"], F.array().cast("array<struct<compensationType:string,minValue:double,maxValue:double,currencyCode:string>>"))))

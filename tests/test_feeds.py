@@ -1,3 +1,6 @@
+import json
+from collections import defaultdict
+
 import datetime as dt
 
 import pytest
@@ -70,3 +73,30 @@ def test_stream_windows_agree_with_batch(spark):
     got = windowed_counts(spark, f"{SF}/events.parquet*", "ts", "event_type")
     batch = spark.read.parquet(f"{SF}/events.parquet").groupBy(F.to_date("ts").alias("d"), "event_type").count()
     assert got.agg(F.sum("n")).first()[0] == batch.agg(F.sum("count")).first()[0] and got.count() == batch.count()
+
+
+def test_payloads_become_postings(spark):
+    """Against a plain reader, over the payloads that are plain JSON."""
+    t = spark.read.parquet("/root/testdata/sf0.01/raw_payloads.parquet")
+    got = defaultdict(list)
+    for r in feeds.payload_postings(t).collect():
+        got[r["ingest_id"]].append((r["source"], r["pos"], r["external_id"], r["title"]))
+    seen = 0
+    for r in t.collect():
+        try:
+            answer = json.loads(r["payload"].removeprefix("\ufeff"))
+        except (ValueError, AttributeError):
+            assert r["payload_id"] not in got
+            continue
+        jobs = answer.get("jobs") if isinstance(answer, dict) else answer if r["adapter"] == "lever" else None
+        if not isinstance(jobs, list):
+            continue
+        names = {"lever": ("id", "text"), "workable": ("shortcode", "title")}.get(r["adapter"], ("id", "title"))
+        text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+        want = [(r["adapter"], i, text(j.get(names[0])), text(j.get(names[1]))) for i, j in enumerate(jobs) if isinstance(j, dict)]
+        assert set(got[r["payload_id"]]) == set(want)
+        seen += len(want)
+    assert seen > 500
+    offers = [(1, "recruitee", json.dumps({"offers": [{"id": 5, "title": "Cook", "description": "<p>Hi</p>", "city": "X", "country_code": "DE"}]})), (2, "smartrecruiters", json.dumps({"content": [{"id": "s", "name": "Nurse"}]})), (3, "other", "[]"), (4, None, None)]
+    rows = feeds.payload_postings(spark.createDataFrame(offers, "payload_id bigint, adapter string, payload string")).collect()
+    assert sorted((r["source"], r["external_id"], r["title"], r["location"], r["description"]) for r in rows) == [("recruitee", "5", "Cook", "X, DE", "Hi"), ("smartrecruiters", "s", "Nurse", None, "")]
