@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from loomwork.functions.script import fold_arabic
+from loomwork.functions.arabic import EMPLOYMENTS, LEVELS, WORKPLACES, label_by_phrase
+from loomwork.functions.script import ARABIC, fold_arabic
 from loomwork.functions.text import squeeze
 
 # Patterns of words that are no part of a title.
@@ -59,8 +60,8 @@ SHARED_HOSTS = [
 ]
 
 
-def _first_match(col: Column, rules: list[tuple[str, str]], default: Column | None = None) -> Column:
-    found = F.lit(None).cast("string") if default is None else default
+def _first_match(col: Column, rules: list[tuple[str, str]]) -> Column:
+    found = F.lit(None).cast("string")
     for pattern, name in reversed(rules):
         found = F.when(col.rlike(pattern), name).otherwise(found)
     return found
@@ -85,20 +86,29 @@ def title_head(normalized: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(normalized, " "), 1, n), " ")
 
 
-def seniority(title: Column, description: Column | None = None) -> Column:
-    """The level a title names, else one named in the first 600 characters of the description; null if none is."""
-    found = _first_match(title, SENIORITY)
-    return found if description is None else F.coalesce(found, _first_match(F.substring(description, 1, 600), SENIORITY))
+def _arabic(col: Column, vocabulary: dict[str, list[str]]) -> Column:
+    """The label of an Arabic phrase, looked for only in texts with such letters."""
+    return F.when(col.rlike(ARABIC), label_by_phrase(col, vocabulary))
+
+
+def seniority(title: Column, description: Column | None = None, head_chars: int | None = 600) -> Column:
+    """The level a title names, else one named in the first `head_chars` characters of the description, or in all of it; in English, else in Arabic. Null if none is."""
+    found = F.coalesce(_first_match(title, SENIORITY), _arabic(title, LEVELS))
+    if description is None:
+        return found
+    head = description if head_chars is None else F.substring(description, 1, head_chars)
+    return F.coalesce(found, _first_match(head, SENIORITY), _arabic(head, LEVELS))
 
 
 def workplace(*cols: Column) -> Column:
-    """hybrid, remote or onsite, hybrid first, from several fields; null if none is named."""
-    return _first_match(F.concat_ws(" ", *cols), WORKPLACE)
+    """hybrid, remote or onsite, hybrid first, from several fields, else by an Arabic phrase; null if none is named."""
+    together = F.concat_ws(" ", *cols)
+    return F.coalesce(_first_match(together, WORKPLACE), _arabic(together, WORKPLACES))
 
 
 def employment(col: Column) -> Column:
-    """The kind of employment a value names; `other` if it names none, null for null and empty."""
-    return F.when(F.coalesce(F.length(col), F.lit(0)) > 0, _first_match(col, EMPLOYMENT, F.lit("other")))
+    """The kind of employment a value names, in English or else in Arabic; `other` if it names none, null for null and empty."""
+    return F.when(F.coalesce(F.length(col), F.lit(0)) > 0, F.coalesce(_first_match(col, EMPLOYMENT), _arabic(col, EMPLOYMENTS), F.lit("other")))
 
 
 def url_host(url: Column) -> Column:

@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star rounds: every node's larger neighbours, then its smaller ones, are
     hung on the smallest node around it, until nothing changes. The rounds grow with the logarithm of the
-    components' breadth; each is a shuffle of the edges, written to the shared folder. Null ends and loops are
+    components' breadth, so 50 of them serve chains of any length that can be stored; each is a shuffle of the edges, written to the shared folder. Null ends and loops are
     dropped, repeated edges count once; an empty table gives none.
     """
     clean = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))

@@ -40,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset (tests) is a local one made and set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local one is made and set on a local master (tests); on a cluster, whose executors wouldn't share it, that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_dir.get(spark.sparkContext.applicationId)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
         spark.sparkContext.setCheckpointDir(found)
         _own_dir[spark.sparkContext.applicationId] = found

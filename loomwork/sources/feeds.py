@@ -16,18 +16,20 @@ from loomwork.session import table
 #: Columns of a normalized posting.
 POSTING = ["source", "external_id", "ingest_id", "title", "title_normalized", "description", "location", "remote_type", "employment_type", "seniority", "language", "url", "apply_url", "written_at"]
 
+#: Columns that an adapter gives as the feed has them.
+GIVEN = ["external_id", "title", "location", "remote_type", "employment_type", "url", "apply_url", "written_at"]
+
 
 def _posting(df: DataFrame, source: str, body: Column, **cols: Column) -> DataFrame:
-    title = cols["title"]
-    known = {k: cols.get(k, F.lit(None).cast("string")) for k in POSTING}
-    made = df.withColumn("__body", body).select(
-        F.lit(source).alias("source"), known["external_id"].cast("string").alias("external_id"), "ingest_id", title.alias("title"),
-        normalize_title(title).alias("title_normalized"), F.col("__body").alias("description"), known["location"].alias("location"),
-        F.coalesce(known["remote_type"], workplace(title, known["location"])).alias("remote_type"), employment(known["employment_type"]).alias("employment_type"),
-        seniority(title, F.col("__body")).alias("seniority"), script_language(F.concat_ws(" ", title, F.col("__body"))).alias("language"),
-        known["url"].alias("url"), known["apply_url"].alias("apply_url"), known["written_at"].alias("written_at"),
-    )
-    return made.select(*POSTING)
+    null = F.lit(None).cast("string")
+    # The feed's own columns are read first, as names of theirs may be those of POSTING.
+    known = df.select("ingest_id", *[cols.get(k, null).cast("string").alias(f"__{k}") for k in GIVEN], body.alias("__body"))
+    col = {k: F.col(f"__{k}") for k in (*GIVEN, "body")}
+    return known.select(
+        F.lit(source).alias("source"), col["external_id"], "ingest_id", col["title"], normalize_title(col["title"]).alias("title_normalized"), col["body"].alias("description"), col["location"],
+        F.coalesce(col["remote_type"], workplace(col["title"], col["location"])).alias("remote_type"), employment(col["employment_type"]).alias("employment_type"),
+        seniority(col["title"], col["body"]).alias("seniority"), script_language(F.concat_ws(" ", col["title"], col["body"])).alias("language"), col["url"], col["apply_url"], col["written_at"],
+    ).toDF(*POSTING)
 
 
 def greenhouse(df: DataFrame) -> DataFrame:

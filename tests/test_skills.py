@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import extraction as ex
+from loomwork.functions import postings as po
 from loomwork.functions import vocabulary as vo
 from loomwork.operators import skills as sk
 from loomwork.queries import snapshots
@@ -62,6 +63,17 @@ def test_vectors_and_claims(spark):
     assert rows(sk.best_mention(m, ["k"], ["span"], "n")) == [("k", "s", 2)]
 
 
+def test_arabic_fallbacks(spark):
+    def each(f, *given):
+        return [spark.createDataFrame([(v,)], "v string").select(f(F.col("v"))).first()[0] for v in given]
+
+    assert each(po.seniority, "مهندس حديث التخرج", "Senior مهندس حديث التخرج", "مهندس") == ["junior", "senior", None]
+    assert each(lambda c: po.seniority(F.lit("مهندس"), c), "نبحث عن خبير في المجال", "x" * 600 + " خبير", None) == ["senior", None, None]
+    assert each(lambda c: po.seniority(F.lit("مهندس"), c, head_chars=None), "x" * 600 + " خبير") == ["senior"]
+    assert each(po.workplace, "عمل عن بعد", "hybrid عن بعد", "القاهرة", None) == ["remote", "hybrid", None, None]
+    assert each(po.employment, "دوام كامل", "Full-time دوام جزئي", "شيء", "", None) == ["full_time", "full_time", "other", None, None]
+
+
 def test_vocabulary(spark):
     one = lambda v, f: spark.createDataFrame([(v,)], "v string").select(f(F.col("v"))).first()[0]
     assert one("مهندس حديث التخرج", lambda c: vo.label_by_phrase(c, vo.LEVELS)) == "junior" and one(None, lambda c: vo.label_by_phrase(c, vo.LEVELS)) is None
