@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.operators.matching import placed, tile_of
+
 
 def ranking_metrics(ranked: DataFrame, k: int = 10) -> DataFrame:
     """Per query of (query, rank, grade): ndcg at k, reciprocal rank of the first grade >= 2, precision at 5 and recall of grade 3 at 10.
@@ -91,7 +93,8 @@ def fleiss_kappa(ratings: DataFrame, group: str, item: str, label: str) -> DataF
 
 def stratified_sample(df: DataFrame, pool: str, score: str, row_id: str, strata: int = 10, each: int = 6) -> DataFrame:
     """Up to `each` rows of every score stratum of every pool, chosen by a hash of the id, with `stratum` from 1 (best)."""
-    cut = df.withColumn("stratum", F.ntile(strata).over(Window.partitionBy(pool).orderBy(F.col(score).desc(), F.col(row_id))))
+    at = placed(df, pool, [F.col(score).desc(), F.col(row_id)])
+    cut = at.withColumn("stratum", tile_of(F.col("n_before") + 1, F.col("pool_size"), strata)).drop("n_before", "n_upto", "pool_size")
     pick = Window.partitionBy(pool, "stratum").orderBy(F.md5(F.col(row_id).cast("string")), F.col(row_id))
     return cut.withColumn("__n", F.row_number().over(pick)).filter(F.col("__n") <= each).drop("__n")
 
@@ -114,13 +117,15 @@ def simplex_weights(beta: np.ndarray, defaults: np.ndarray, bound: float = 0.4)
     return w
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float = 0.5, l2: float = 1.0, rounds: int = 2000, tol: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of a ridge logistic regression by batch gradient descent."""
-    beta, b0, n = np.zeros(x.shape[1]), 0.0, len(y)
+def fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, rate: float = 0.5, l2: float = 1.0, rounds: int = 2000, tol: float = 1e-7) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a ridge logistic regression by batch gradient descent; an example may stand for several."""
+    k = np.ones(len(y)) if counts is None else counts
+    beta, b0, n = np.zeros(x.shape[1]), 0.0, k.sum()
     for _ in range(rounds):
         z = x @ beta + b0
         p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
-        g, g0 = x.T @ (p - y) / n + l2 * beta / n, float((p - y).mean())
+        off = k * (p - y)
+        g, g0 = x.T @ off / n + l2 * beta / n, float(off.sum() / n)
         beta, b0 = beta - rate * g, b0 - rate * g0
         if max(np.abs(g).max(initial=0), abs(g0)) < tol:
             break
@@ -130,21 +135,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float = 0.5, l2: float = 1.
 def fit_preferences(examples: DataFrame, user: str, features: list[str], label: str, defaults: list[float], least: int = 20) -> DataFrame:
     """(user, n_pos, n_neg, weights): personal weights of users with `least` positive and negative examples, the defaults for others.
 
-    Null features count as 0 and rows with a null label are left out; one user's examples are one group.
+    Null features count as 0 and rows with a null label are left out. Equal examples are counted before a user's are put
+    together, so a group holds distinct examples only.
     """
     schema = T.StructType([examples.schema[user], T.StructField("n_pos", T.IntegerType()), T.StructField("n_neg", T.IntegerType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
     base = np.array(defaults)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g[label].notna()].sort_values([label, *features])
-        y = g[label].to_numpy(float)
-        pos, neg = int((y == 1).sum()), int((y == 0).sum())
+        g = g.sort_values([label, *features])
+        y, n = g[label].to_numpy(float), g["__n"].to_numpy(float)
+        pos, neg = int(n[y == 1].sum()), int(n[y == 0].sum())
         w = base
         if min(pos, neg) >= least:
-            w = simplex_weights(fit_logistic(g[features].fillna(0).to_numpy(float), y)[0], base)
-        return pd.DataFrame([(g[user].iloc[0], pos, neg, np.round(w, 6).tolist())], columns=schema.names) if len(g) else pd.DataFrame(columns=schema.names)
+            w = simplex_weights(fit_logistic(g[features].to_numpy(float), y, n)[0], base)
+        return pd.DataFrame([(g[user].iloc[0], pos, neg, np.round(w, 6).tolist())], columns=schema.names)
 
-    return examples.filter(F.col(user).isNotNull()).select(user, label, *features).groupBy(user).applyInPandas(one, schema)
+    known = examples.filter(F.col(user).isNotNull() & F.col(label).isNotNull()).select(user, label, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    return known.groupBy(user, label, *features).agg(F.count(F.lit(1)).alias("__n")).groupBy(user).applyInPandas(one, schema)
 
 
 def peak_is_single(values: Column) -> Column:

@@ -146,13 +146,36 @@ def overlap_score(query: Column, doc: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.round(0.7 * both / F.size(q) + 0.3 * jaccard, 6))
 
 
+def placed(df: DataFrame, pool: str, order: list[Column]) -> DataFrame:
+    """`df` with, within its pool and in an order, the rows before (`n_before`, ties left out), up to it (`n_upto`, ties included) and in all (`pool_size`).
+
+    Rows are spread by ranges of (pool, order) and written, each range is sorted by itself, and the counts of the ranges
+    before are added, so that no task sorts a pool, however few pools there are.
+    """
+    ranged = materialize(df.repartitionByRange(F.col(pool), *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(F.col(pool).alias("__pool"), F.col("__range").alias("__at")).agg(F.count(F.lit(1)).alias("__k"))
+    by_pool = Window.partitionBy("__pool")
+    before = F.coalesce(F.sum("__k").over(by_pool.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumns({"__offset": before, "pool_size": F.sum("__k").over(by_pool)})
+    inner = Window.partitionBy(pool, "__range").orderBy(*order)
+    local = ranged.withColumns({"__rank": F.rank().over(inner), "__upto": F.count(F.lit(1)).over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))})
+    joined = local.join(F.broadcast(offsets), F.col(pool).eqNullSafe(F.col("__pool")) & (F.col("__range") == F.col("__at")))
+    return joined.select(*df.columns, (F.col("__offset") + F.col("__rank") - 1).alias("n_before"), (F.col("__offset") + F.col("__upto")).alias("n_upto"), "pool_size")
+
+
+def tile_of(place: Column, n: Column, tiles: int) -> Column:
+    """The tile, from 1, of a place from 1 among n rows cut into `tiles` as even as can be, longer ones first."""
+    size, more = F.floor(n / tiles), n % tiles
+    return F.when(place <= more * (size + 1), F.ceil(place / (size + 1))).otherwise(more + F.ceil((place - more * (size + 1)) / F.greatest(size, F.lit(1)))).cast("int")
+
+
 def pool_percentile(df: DataFrame, pool: str, score: str) -> DataFrame:
     """`df` with percentile (share of the pool below, in per cent, to 2 places), rank (1 + number above), pool_size and band. Null scores are below all."""
-    low, high = Window.partitionBy(pool).orderBy(F.col(score).asc_nulls_first()), Window.partitionBy(pool).orderBy(F.col(score).desc_nulls_last())
-    size = F.count(F.lit(1)).over(Window.partitionBy(pool))
-    out = df.withColumn("pool_size", size).withColumn("percentile", F.round(100.0 * (F.rank().over(low) - 1) / size, 2)).withColumn("rank", F.rank().over(high))
+    at = placed(df, pool, [F.col(score).asc_nulls_first()])
+    out = at.withColumn("percentile", F.round(100.0 * F.col("n_before") / F.col("pool_size"), 2)).withColumn("rank", F.col("pool_size") - F.col("n_upto") + 1)
     p = F.col("percentile")
-    return out.withColumn("band", F.when(p >= 99, "top 1%").when(p >= 95, "top 5%").when(p >= 90, "top 10%").when(p >= 75, "top quarter").when(p >= 50, "top half").otherwise("lower half"))
+    banded = out.withColumn("band", F.when(p >= 99, "top 1%").when(p >= 95, "top 5%").when(p >= 90, "top 10%").when(p >= 75, "top quarter").when(p >= 50, "top half").otherwise("lower half"))
+    return banded.drop("n_before", "n_upto")
 
 
 def pool_minmax(df: DataFrame, pool: str, score: str, out: str) -> DataFrame:

@@ -81,6 +81,22 @@ def test_a_word_of_all_documents_meets_no_single_task(spark):
     assert "hashpartitioning(query" not in plan and "hashpartitioning(doc" in plan
 
 
+def test_places_in_few_big_pools(spark):
+    r = np.random.default_rng(2)
+    data = [("big" if i % 50 else None, float(r.integers(0, 40)) if i % 9 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "p string, s double, i int")
+    got = {x["i"]: x for x in m.placed(df, "p", [F.col("s").asc_nulls_first()]).collect()}
+    for p in ("big", None):
+        mine = [(-1.0 if s is None else s, i) for q, s, i in data if q == p]
+        values = np.array([s for s, _ in mine])
+        for s, i in mine[::37]:
+            assert (got[i]["n_before"], got[i]["n_upto"], got[i]["pool_size"]) == ((values < s).sum(), (values <= s).sum(), len(mine))
+    for n in (1, 7, 10, 23):
+        tiles = [x[0] for x in spark.range(1, n + 1).select(m.tile_of(F.col("id"), F.lit(n), 10)).collect()]
+        assert tiles == [j + 1 for j, part in enumerate(np.array_split(np.arange(n), 10)) for _ in part]
+    assert rows(m.placed(df.limit(0), "p", [F.col("s")])) == []
+
+
 def test_vectors(spark):
     vecs = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(20)] + [(90, [0.0] * 3), (91, None)], "id int, v array<double>")
     near = m.nearest_vectors(vecs, vecs.filter("id % 5 = 0"), "id", "v", 3, block=2, at_once=1)
