@@ -141,7 +141,19 @@ def url_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.select("ingest_id", po.url_host(F.col("u")).alias("host"), po.registrable_domain(F.col("u")).alias("domain"))
 
 
-@registry.query()
+_TRACKING = ", ".join(f"'{x}'" for x in po.TRACKING)
+_COMPOUND = ", ".join(f"'{x}'" for x in po.COMPOUND)
+_SHARED = ", ".join(f"'{x}'" for x in po.SHARED_HOSTS)
+
+
+@registry.query(sql=rf"""with u as (select trim(applyUrl, ' ') as u, regexp_replace(trim(applyUrl, ' '), '#.*$', '') as b, {_HOST.format(u='applyUrl')} as host from lever_postings),
+p as (select *, lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, regexp_extract(b, '^[^/]+//[^/?#]*?:([0-9]+)(?:[/?#]|$)', 1) as port,
+regexp_replace(regexp_extract(b, '^[^/]+//[^/?#]*([^?#]*)', 1), '/+$', '') as path, string_split(host, '.') as l,
+list_sort(list_filter(string_split(regexp_extract(b, '[?](.*)$', 1), '&'), lambda x: x <> '' and lower(regexp_extract(x, '^([^=]*)', 1)) not in ({_TRACKING}))) as q from u),
+k as (select case when host is null then u else scheme || '://' || host || case when port <> '' and not (scheme = 'http' and port = '80') and not (scheme = 'https' and port = '443') then ':' || port else '' end
+|| path || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as url_key,
+coalesce(case when len(l) >= 2 then case when len(l) >= 3 and array_to_string(l[-2:], '.') in ({_COMPOUND}) then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end end in ({_SHARED}), false) as shared_host from p)
+select url_key, shared_host, count(*) as n from k group by 1, 2""")
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison keys of application addresses, with the number of rows that share each."""
     urls = table(spark, sf_dir, "lever_postings").select(po.canonical_url(F.col("applyUrl")).alias("url_key"), po.is_shared_host(F.col("applyUrl")).alias("shared_host"))
@@ -186,13 +198,13 @@ def source_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@registry.query(sql="""with c as (select ingest_id, unnest(compensation.compensationTiers) as t from ashby_jobs), p as (select ingest_id, generate_subscripts(t.components, 1) as i, unnest(t.components) as c from c),
-k as (select ingest_id, c from p where lower(c.compensationType) = 'salary' and (c.minValue is not null or c.maxValue is not null))
-select ingest_id, min(c.minValue) is not null as has_min from k group by 1""")
+@registry.query(sql="""with t as (select ingest_id, compensation.compensationTiers as ts, unnest(range(1, len(compensation.compensationTiers) + 1)) as i from ashby_jobs),
+c as (select ingest_id, i, ts[i].components as cs, unnest(range(1, len(ts[i].components) + 1)) as j from t),
+k as (select ingest_id, cs[j] as c, row_number() over (partition by ingest_id order by i, j) as n from c where lower(cs[j].compensationType) = 'salary' and (cs[j].minValue is not null or cs[j].maxValue is not null))
+select ingest_id, c.minValue as min_value, c.maxValue as max_value, upper(c.currencyCode) as currency from k where n = 1""")
 def pay_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ashby rows that name a salary with a bound."""
-    pay = pay_range(table(spark, sf_dir, "ashby_jobs"))
-    return pay.select("ingest_id", F.col("min_value").isNotNull().alias("has_min"))
+    """The first salary with a bound of each ashby row that names one."""
+    return pay_range(table(spark, sf_dir, "ashby_jobs"))
 
 
 @registry.query()
@@ -251,10 +263,18 @@ def claims_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("ingest_id", F.size("c").alias("n_unsupported"), F.array_join("c", ";").alias("claims"))
 
 
-@registry.query()
+_PLATFORM = " ".join(f"when host = '{h}' or ends_with(host, '.{h}') then '{p}'" for h, p in sorted(vo.PLATFORM_HOSTS.items(), key=lambda x: -len(x[0])))
+_PATHS = {name: " or ".join(f"starts_with(path, '{x}')" for x in begins) for name, begins in vo.PATH_REQUIRED.items()}
+_BY_PATTERN = " ".join(f"when regexp_matches(host, '{pattern}') and ({_PATHS.get(name, 'true')}) then '{name}'" for pattern, name in vo.HOST_PATTERNS)
+
+
+@registry.query(sql=f"""with a as (select ingest_id, applyUrl as u from lever_postings union all select ingest_id, application_url from workable_jobs union all select ingest_id, applyUrl from ashby_jobs union all select ingest_id, absolute_url from greenhouse_jobs),
+u as (select ingest_id, {_HOST.format(u='u')} as host, regexp_extract(lower(u), '^[^/]+//[^/?#]*([^?#]*)', 1) as path from a) select ingest_id, case {_PLATFORM} {_BY_PATTERN} else 'unknown' end as platform from u""")
 def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The platform behind each lever application address."""
-    return table(spark, sf_dir, "lever_postings").select("ingest_id", platform_of(F.col("applyUrl"))["platform"].alias("platform"))
+    """The platform behind each application address of four feeds."""
+    columns = {"lever_postings": "applyUrl", "workable_jobs": "application_url", "ashby_jobs": "applyUrl", "greenhouse_jobs": "absolute_url"}
+    urls = reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select("ingest_id", F.col(c).alias("u")) for t, c in columns.items()])
+    return urls.select("ingest_id", platform_of(F.col("u"))["platform"].alias("platform"))
 
 
 @registry.query()
