@@ -193,7 +193,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copy_pairs(*_alike_postings(spark, sf_dir))
 
 
-@registry.query()
+_GROUPS = _P6.replace("with t as", "with recursive t as").replace("select id_a, id_b from m join", ", pr as (select id_a, id_b from m join") + """),
+e as (select id_a as a, id_b as b from pr union all select id_b, id_a from pr), r(id, root) as (select ingest_id, ingest_id from p union select e.b, r.root from r join e on e.a = r.id),
+g as (select id, min(root) as group_id from r group by 1), n as (select a as id, count(*) as n_links from e group by 1)
+select g.id, group_id, coalesce(n_links, 0) as n_links from g left join n on g.id = n.id"""
+
+
+@registry.query(sql=_GROUPS)
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each posting with its group and its number of alike postings."""
     members, links = _alike_postings(spark, sf_dir)
