@@ -21,6 +21,7 @@ from loomwork.operators import snapshots as sn
 from loomwork.operators.joins import lookup_join
 from loomwork.queries import Registry
 from loomwork.queries.matching import _RANKED, _WORDS, _postings
+from loomwork.queries.snapshots import _COMPOUND, _HOST, _SHARED
 from loomwork.session import materialize, table
 
 registry = Registry()
@@ -388,7 +389,13 @@ def links_to_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("ingest_id", po.without_parameters(F.col("applyUrl"), po.ANALYTICS).alias("link"))
 
 
-@registry.query()
+_DOMAIN = f"""case when len(l) >= 2 then case when len(l) >= 3 and array_to_string(l[-2:], '.') in ({_COMPOUND}) then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end end"""
+_OWN = f"case when {_DOMAIN} not in ({_SHARED}) then {_DOMAIN} end"
+
+
+@registry.query(sql=f"""with u as (select ingest_id, applyUrl as a, hostedUrl as h, string_split({_HOST.format(u='applyUrl')}, '.') as la, string_split({_HOST.format(u='hostedUrl')}, '.') as lh from lever_postings)
+select ingest_id, coalesce({_OWN.replace('l[', 'la[').replace('len(l)', 'len(la)')}, {_OWN.replace('l[', 'lh[').replace('len(l)', 'len(lh)')}) as domain,
+case when trim(a, ' ') <> '' then trim(a, ' ') when trim(h, ' ') <> '' then trim(h, ' ') end as link, case when trim(a, ' ') <> '' then 'ats_native' when trim(h, ' ') <> '' then 'canonical' end as method from u""")
 def employer_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The employer's own domain among the addresses of a posting, and the link to apply by with where it comes from."""
     t = table(spark, sf_dir, "lever_postings")

@@ -163,12 +163,12 @@ def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AR = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 
 
-@registry.query(sql=f"""with c as (select doc_id, substr(text, 1, 4000) as t from documents), n as (select doc_id, t, length(t) - length(regexp_replace(t, '{_AR}', '', 'g')) as a, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) as l from c)
+@registry.query(sql=f"""with c as (select doc_id, text as t from documents), n as (select doc_id, t, length(t) - length(regexp_replace(t, '{_AR}', '', 'g')) as a, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) as l from c)
 select doc_id, a::bigint as n_arabic, l::bigint as n_latin, case when t is null then null when a > 0.20 * (a + l) then 'ar' else 'en' end as script_lang from n""")
 def script_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arabic and Latin letters at the head of every document, and the language they suggest."""
-    arabic, latin = script.script_counts(F.col("text"), script.SHARE_CHARS)
-    return table(spark, sf_dir, "documents").select("doc_id", arabic.cast("bigint").alias("n_arabic"), latin.cast("bigint").alias("n_latin"), script.script_language(F.col("text"), script.SHARE_CHARS).alias("script_lang"))
+    """Arabic and Latin letters of every document, and the language they suggest."""
+    arabic, latin = script.script_counts(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", arabic.cast("bigint").alias("n_arabic"), latin.cast("bigint").alias("n_latin"), script.script_language(F.col("text")).alias("script_lang"))
 
 
 @registry.query()
@@ -241,7 +241,13 @@ def skills_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills_in(table(spark, sf_dir, "documents"), _taxonomy(spark), "doc_id", "text")
 
 
-@registry.query()
+_WANTED = ", ".join(f"('{q}', '{x}', {must})" for q, xs in _REQUESTS.items() for x, must in xs)
+
+
+@registry.query(sql=rf"""with w(query, skill, must) as (values {_WANTED}), n as (select *, case when must then 3.0 else 1.0 end as wt from w),
+h as (select doc_id as doc, skill from (select distinct skill from w) s, documents where kind = 'cv' and regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_+#.])' || lower(skill) || '\.*($|[^\p{{L}}\p{{N}}_+#.])')),
+hit as (select query, doc, sum(wt) as got, array_agg(skill) as have from h join n using (skill) group by 1, 2), t as (select query, sum(wt) as total, array_agg(skill) as want from n group by 1)
+select query, doc, round(got / total, 4)::double as coverage, array_to_string(list_sort(have), ',') as matched, array_to_string(list_sort(list_filter(want, lambda x: not list_contains(have, x))), ',') as missing from hit join t using (query)""")
 def skill_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far CVs cover the skills that fixed requests ask for."""
     wanted = spark.createDataFrame([(q, s, m) for q, ss in _REQUESTS.items() for s, m in ss], "query string, skill string, must boolean")
