@@ -1,8 +1,10 @@
 """Encoding of a whole corpus with a byte-level BPE vocabulary by corpus-level merge replay.
 
-The distinct new words of a block of texts form one corpus of symbols. An inverted index leads from each merge to the places
-where its pair stands; merges are applied to the whole corpus in rank order, and each application touches only
-the two neighbours it changes. Words already encoded by a worker are remembered.
+The corpus's words are counted, distinct ones are spread over the tasks by hash, and each task's share is one corpus of
+symbols: an inverted index leads from each merge to the places where its pair stands; merges are applied to the whole
+share in rank order, and each application touches only the two neighbours it changes. The ids of the most frequent
+words, up to a bound, then go to every task, which puts texts together from them; words beyond the bound are
+replayed, by the same index, where they are met, so that no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import base64
 import heapq
 import itertools
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from loomwork.llm.words import REMEMBERED
 
 #: Default place of the vocabulary: one base64 token and its rank a line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Distinct words whose ids go to every task, and the bytes up to which a word may be among them.
+SENT_WORDS, SENT_BYTES = 200_000, 64
 #: Characters (about) whose new words are replayed together; a longer text is replayed alone.
 BLOCK_CHARS = 4_000_000
 #: Fixed value: the public pre-tokenisation pattern of this vocabulary.
@@ -127,15 +133,25 @@ class MergeReplay:
 class CorpusEncoder:
     """Texts to ids; remembers pieces between single spaces and words."""
 
-    def __init__(self, replay: MergeReplay, limit: int = REMEMBERED) -> None:
-        self.replay, self.limit = replay, limit
+    def __init__(self, replay: MergeReplay, limit: int = REMEMBERED, known: dict[str, tuple[int, ...]] | None = None) -> None:
+        self.replay, self.limit, self.known = replay, limit, known or {}
         self.pattern = regex.compile(PATTERN)
         # re's white space holds all of the pattern's and a few control characters; more of it only means larger pieces.
         self.odd_space = re.compile(r"^ | $| \s|\s ")
         self.single_space = re.compile(r"(?<=\S) (?=\S)")
         self.first: dict[str, tuple[int, ...]] = {}
         self.later: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = dict(self.known)
+
+    def count(self, texts: list[str | None]) -> Counter[str]:
+        """Words of some texts with their occurrences."""
+        split = [self.pieces(t) for t in texts if t]
+        counts: Counter[str] = Counter()
+        for lead, pieces in (("", Counter(p[0] for p in split)), (" ", Counter(chain.from_iterable(p[1:] for p in split)))):
+            for piece, n in pieces.items():
+                for word in self.pattern.findall(lead + piece):
+                    counts[word] += n
+        return counts
 
     def pieces(self, text: str) -> list[str]:
         """Parts between single spaces. No word crosses such a space, and the space begins the next part."""
@@ -143,8 +159,8 @@ class CorpusEncoder:
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of a batch of texts; null and empty texts have none."""
-        if max(len(self.first), len(self.later), len(self.words)) > self.limit:
-            self.first, self.later, self.words = {}, {}, {}
+        if max(len(self.first), len(self.later), len(self.words) - len(self.known)) > self.limit:
+            self.first, self.later, self.words = {}, {}, dict(self.known)
         split = [self.pieces(t) if t else None for t in texts]
         new_first = {p[0] for p in split if p} - self.first.keys()
         new_later = set(chain.from_iterable(p[1:] for p in split if p)) - self.later.keys()
@@ -165,33 +181,61 @@ class CorpusEncoder:
         return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), offsets
 
 
-_encoders: dict[int, CorpusEncoder] = {}
+_encoders: dict[str, CorpusEncoder] = {}
 
 
-def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of about BLOCK_CHARS characters in a column."""
+    for b in batches:
+        chars = np.cumsum(pc.fill_null(pc.utf8_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        ends = np.searchsorted(chars, np.arange(BLOCK_CHARS, (chars[-1] if len(chars) else 0) + BLOCK_CHARS, BLOCK_CHARS), "right")
+        for at, end in itertools.pairwise(np.unique(np.r_[0, ends, b.num_rows]).tolist()):
+            yield b.slice(at, end - at)
+
+
+def word_ids(docs: DataFrame, text_col: str, blob: Broadcast) -> DataFrame:
+    """(word binary, n, ids) of every distinct word of the corpus: its occurrences and its ids, encoded once, in shares by hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = CorpusEncoder(MergeReplay({bytes([b]): b for b in range(256)}))
+        for part in _blocks(batches, 0):
+            found = encoder.count(part.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in found], pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = MergeReplay.parse(blob.value)
+        for b in batches:
+            ids = replay.encode(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+
+    counted = docs.select(text_col).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(encode, "word binary, n bigint, ids array<int>")
+
+
+def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, sent_words: int = SENT_WORDS) -> DataFrame:
     """(`id_col`, ids array<int>) of every row, without special tokens; their strings are ordinary text.
 
     Null and empty texts give an empty list; white space alone is encoded like any text. Repeated rows are
-    encoded each. The vocabulary (under 1 MB) is read once and sent to the workers. No shuffle.
+    encoded each. The vocabulary (under 1 MB) is read once and sent to the workers, and so are the ids of the corpus's
+    `sent_words` most frequent words; only distinct words are shuffled.
     """
     with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        blob = docs.sparkSession.sparkContext.broadcast(f.read())
+    frequent = word_ids(docs, text_col, blob).filter(F.length("word") <= SENT_BYTES).orderBy(F.col("n").desc(), "word").limit(sent_words).select("word", "ids").toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast((frequent["word"].tolist(), [np.asarray(i, np.int32) for i in frequent["ids"]]))
+    key = uuid.uuid4().hex
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = shared.value
-        key = xxhash.xxh3_64_intdigest(blob)
         if key not in _encoders:
-            _encoders[key] = CorpusEncoder(MergeReplay.parse(blob))
+            _encoders.clear()
+            words, ids = shared.value
+            known = {bytes(w).decode("utf-8"): tuple(i.tolist()) for w, i in zip(words, ids, strict=True)}
+            _encoders[key] = CorpusEncoder(MergeReplay.parse(blob.value), known=known)
         encoder = _encoders[key]
-        for b in batches:
-            # Blocks end where the texts so far pass another BLOCK_CHARS.
-            chars = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
-            ends = np.searchsorted(chars, np.arange(BLOCK_CHARS, (chars[-1] if len(chars) else 0) + BLOCK_CHARS, BLOCK_CHARS), "right")
-            for at, end in itertools.pairwise(np.unique(np.r_[0, ends, b.num_rows]).tolist()):
-                part = b.slice(at, end - at)
-                ids, offsets = encoder.batch(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
+        for part in _blocks(batches, 1):
+            ids, offsets = encoder.batch(part.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")

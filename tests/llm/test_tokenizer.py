@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwork.llm.tokenizer import VOCABULARY, CorpusEncoder, MergeReplay, encode_corpus
+from loomwork.llm.tokenizer import VOCABULARY, CorpusEncoder, MergeReplay, encode_corpus, word_ids
 from tests.conftest import rows
 
 pytestmark = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="the public vocabulary isn't here")
@@ -50,3 +50,15 @@ def test_rows(spark):
     got = [(r[0], tuple(r[1])) for r in encode_corpus(df).collect()]
     assert sorted(got, key=repr) == sorted([(1, (31373,)), (1, (31373,)), (2, ()), (None, ())], key=repr)
     assert rows(encode_corpus(df.limit(0))) == []
+
+
+def test_corpus_words_and_their_bound(spark):
+    texts = ["the cat sat", "the  cat's hat\n", None, "", " odd　spaces \t", "the " * 50, "x" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    enc = reference()
+    want = sorted((i, tuple(enc.encode_ordinary(t or ""))) for i, t in enumerate(texts))
+    for sent in (0, 2, 1000):
+        assert sorted((r[0], tuple(r[1])) for r in encode_corpus(df, sent_words=sent).collect()) == want
+    blob = spark.sparkContext.broadcast(Path(VOCABULARY).read_bytes())
+    found = {bytes(r["word"]).decode(): (r["n"], r["ids"]) for r in word_ids(df, "text", blob).collect()}
+    assert found[" the"] == (49, enc.encode_ordinary(" the")) and found["the"][0] == 3 and found["'s"][0] == 1
