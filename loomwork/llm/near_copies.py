@@ -213,11 +213,16 @@ def near_copy_classes(
 
 
 def near_copy_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs (id_a, id_b), id_a < id_b: within classes of exact copies and across linked classes. As many rows as there are pairs."""
-    reps = links.select("rep_a", "rep_b").unionByName(members.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).distinct())
+    """All pairs (id_a, id_b), id_a < id_b: within classes of exact copies and across linked classes. As many rows as there are pairs.
+
+    The copies of a big class are spread over parts that the other side is repeated for, so no task makes all of its pairs.
+    """
+    parts = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / HOT_CELL).cast("int").alias("parts"))
+    links = links.select("rep_a", "rep_b").unionByName(parts.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
     left = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))
-    right = members.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    every = reps.join(left, "rep_a").join(right, "rep_b").filter((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
+    right = members.join(parts, "rep").select(F.col("rep").alias("rep_b"), F.col("id").alias("y"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    spread = links.join(parts.withColumnRenamed("rep", "rep_b"), "rep_b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = spread.join(left, "rep_a").join(right, ["rep_b", "part"]).filter((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

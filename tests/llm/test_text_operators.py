@@ -192,6 +192,7 @@ def test_near_copies_against_brute_force(spark):
 def test_hot_class_of_copies_is_linear(spark):
     df = spark.range(3000).select(F.col("id"), F.lit("t").alias("t"), F.when(F.col("id") % 3 == 0, F.lit(prose(5, 100))).otherwise(F.concat(F.lit("doc "), F.col("id").cast("string"), F.lit(" has few words"))).alias("b"))
     members, links = near_copy_classes(df, "id", "t", "b", min_words=20)
+    assert near_copy_pairs(members, links).distinct().count() == near_copy_pairs(members, links).count() == 1000 * 999 // 2
     assert members.count() == 1000 and links.count() == 0
     assert {tuple(r)[1:] for r in near_copy_groups(members, links).collect()} == {(0, 999)}
     empty, none = near_copy_classes(df.limit(0), "id", "t", "b")
