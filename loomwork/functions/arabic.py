@@ -50,17 +50,21 @@ def first_pair(items: list[tuple[str, str]], fits: Callable[[Column], Column]) -
     return F.get(F.filter(pairs(items), lambda p: fits(p["key"])), F.lit(0))["value"]
 
 
+def _once(col: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, also where f uses it for every element of an array."""
+    return F.get(F.transform(F.array(col), f), 0)
+
+
 def label_by_phrase(col: Column, vocabulary: dict[str, list[str]], folded: bool = False) -> Column:
     """The label of the longest phrase that the folded text contains; null if none."""
-    text = col if folded else fold_arabic(col)
     phrases = sorted(((p, label) for label, ps in vocabulary.items() for p in ps), key=lambda x: -len(x[0]))
-    return first_pair(phrases, lambda p: F.contains(text, p))
+    return _once(col if folded else fold_arabic(col), lambda text: first_pair(phrases, lambda p: F.contains(text, p)))
 
 
 def sections_named(col: Column, folded: bool = False) -> Column:
     """Sorted names of the sections whose Arabic headings the text contains."""
-    text = col if folded else fold_arabic(col)
-    hits = F.filter(pairs([(p, name) for name, ps in sorted(SECTIONS.items()) for p in ps]), lambda p: F.contains(text, p["key"]))
+    headings = pairs([(p, name) for name, ps in sorted(SECTIONS.items()) for p in ps])
+    hits = _once(col if folded else fold_arabic(col), lambda text: F.filter(headings, lambda p: F.contains(text, p["key"])))
     return F.array_distinct(F.transform(hits, lambda p: p["value"]))
 
 
