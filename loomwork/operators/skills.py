@@ -159,6 +159,28 @@ def _skills_by_join(given: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     return grouped.mapInPandas(pick, f"doc {kind}, canonical_name string")
 
 
+# Words that join what must each be held, and what may replace each other.
+CONJUNCTION = r"(?i)\b(?:and|as well as|plus)\b|;"
+ALTERNATION = r"(?i)\b(?:or|either)\b|/"
+
+
+def expand_requirements(requirements: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(query, must, skill, alternatives) of requirements (query, must, text): one row a skill that must be held, with those that may stand in for it.
+
+    A text is split at conjunctions; the skills that a part names are one requirement if the part offers a choice, else one each. Of a choice
+    the first by name is the skill. Texts that name no known skill are left out; a skill asked for twice comes once, with all its alternatives.
+    """
+    parts = requirements.select("query", "must", F.posexplode(F.split("text", CONJUNCTION)).alias("part", "said"), F.xxhash64("text").alias("no"))
+    keyed = parts.withColumn("key", F.struct("query", "must", "no", "part")).select("key", "said").distinct().withColumn("key_text", F.to_json("key"))
+    named = skills_in(keyed, taxonomy, "key_text", "said")
+    found = keyed.join(named, keyed["key_text"] == named["doc"]).select("key", F.col("said").rlike(ALTERNATION).alias("choice"), "canonical_name")
+    groups = found.groupBy("key", "choice").agg(F.array_sort(F.collect_set("canonical_name")).alias("names"))
+    one = F.struct(F.get("names", 0).alias("skill"), F.array_remove("names", F.get("names", 0)).alias("others"))
+    each = F.transform("names", lambda n: F.struct(n.alias("skill"), F.array().cast("array<string>").alias("others")))
+    rows = groups.select("key.query", "key.must", F.explode(F.when(F.col("choice"), F.array(one)).otherwise(each)).alias("r"))
+    return rows.groupBy("query", "must", F.col("r.skill").alias("skill")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("r.others")))).alias("alternatives"))
+
+
 def coverage(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """(query, doc, coverage, matched, missing): weighted share of (query, skill, must) that (doc, skill) holds, must-haves counting three times; 1 without wants.
 

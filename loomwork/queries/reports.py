@@ -21,8 +21,9 @@ from loomwork.operators import snapshots as sn
 from loomwork.operators.joins import lookup_join
 from loomwork.queries import Registry
 from loomwork.queries.matching import _RANKED, _WORDS, _postings
-from loomwork.queries.snapshots import _COMPOUND, _HOST, _SHARED
+from loomwork.queries.snapshots import _COMPOUND, _HOST, _SHARED, _taxonomy
 from loomwork.session import materialize, table
+from loomwork.sources import feeds
 
 registry = Registry()
 
@@ -433,3 +434,27 @@ def places_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place entries that each typed place of the largest feed names, by any of their names: a taxonomy with aliases."""
     canon = table(spark, sf_dir, "canon_values").filter("kind = 'place'").select("canonical_name", "aliases")
     return sk.skills_in(table(spark, sf_dir, "smartrecruiters_postings").select("ingest_id", "location.fullLocation"), canon, "ingest_id", "fullLocation")
+
+
+_PLACES = """with p as (select 'greenhouse' as source, ingest_id, unnest(list_concat([location.name], coalesce(list_transform(offices, lambda x: x.name), []))) as place from greenhouse_jobs
+union all select 'lever', ingest_id, categories.location from lever_postings
+union all select 'ashby', ingest_id, unnest(list_concat([location], coalesce(list_transform(secondaryLocations, lambda x: x.location), []))) from ashby_jobs
+union all select 'workable', ingest_id, unnest(case when len(list_filter(l, lambda x: x <> '')) > 0 then l else [concat_ws(', ', nullif(trim(city, ' '), ''), nullif(trim(country, ' '), ''))] end) from (
+  select ingest_id, city, country, list_transform(list_filter(locations, lambda x: not coalesce(x.hidden, false)), lambda x: concat_ws(', ', nullif(trim(x.city, ' '), ''), nullif(trim(x.region, ' '), ''), nullif(trim(x.country, ' '), ''))) as l from workable_jobs)
+union all select 'smartrecruiters', ingest_id, coalesce(nullif(trim(location.fullLocation, ' '), ''), concat_ws(', ', nullif(trim(location.city, ' '), ''), nullif(trim(location.country, ' '), ''))) from smartrecruiters_postings)
+select distinct source, ingest_id, trim(place, ' ') as place from p where trim(place, ' ') <> ''"""
+
+
+@registry.query(sql=_PLACES)
+def posting_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place that a posting of any feed names."""
+    return feeds.posting_places(spark, sf_dir)
+
+
+@registry.query()
+def skills_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills that each lever posting's requirements ask for, with what may stand in for them."""
+    t = table(spark, sf_dir, "lever_postings").select("ingest_id", F.explode(ex.requirements("descriptionPlain")).alias("r"))
+    asked = t.filter(F.col("r.kind").isin("skill", "experience")).select(F.col("ingest_id").alias("query"), F.col("r.must_have").alias("must"), F.col("r.text").alias("text"))
+    out = sk.expand_requirements(asked, _taxonomy(spark))
+    return out.select("query", "must", "skill", F.array_join("alternatives", ",").alias("alternatives"))

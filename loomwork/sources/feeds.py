@@ -136,6 +136,29 @@ def payload_postings(payloads: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [made(name, adapter) for name, adapter in JOB_ADAPTERS.items()])
 
 
+def posting_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, ingest_id, place): every distinct place that a row of any feed names, main and further ones. Blank places are left out; a row may have none.
+
+    Greenhouse names a location and offices, ashby further locations, workable a list of places (hidden ones aside), else city
+    and country; a place in parts is put together with commas.
+    """
+
+    def parts(*cols: Column) -> Column:
+        return F.concat_ws(", ", *[F.nullif(F.trim(c), F.lit("")) for c in cols])
+
+    no_places = F.array().cast("array<string>")
+    listed = F.transform(F.filter("locations", lambda x: ~F.coalesce(x["hidden"], F.lit(False))), lambda x: parts(x["city"], x["region"], x["country"]))
+    named = {
+        "greenhouse": F.concat(F.array("location.name"), F.coalesce(F.col("offices.name"), no_places)),
+        "lever": F.array("categories.location"),
+        "ashby": F.concat(F.array("location"), F.coalesce(F.col("secondaryLocations.location"), no_places)),
+        "workable": F.when(F.size(F.filter(F.coalesce(listed, no_places), lambda x: x != "")) > 0, listed).otherwise(F.array(parts(F.col("city"), F.col("country")))),
+        "smartrecruiters": F.array(F.coalesce(F.nullif(F.trim("location.fullLocation"), F.lit("")), parts(F.col("location.city"), F.col("location.country")))),
+    }
+    rows = [table(spark, sf_dir, ADAPTERS[n][0]).select(F.lit(n).alias("source"), "ingest_id", F.explode(F.array_distinct(F.transform(c, lambda x: F.trim(x)))).alias("place")) for n, c in named.items()]
+    return reduce(DataFrame.unionByName, rows).filter("place <> ''")
+
+
 def pay_range(df: DataFrame) -> DataFrame:
     """(ingest_id, min_value, max_value, currency): the first salary component with a bound of an ashby row; rows without one are left out."""
     parts = F.flatten(F.transform("compensation.compensationTiers", lambda t: F.coalesce(t["components"], F.array().cast("array<struct<compensationType:string,minValue:double,maxValue:double,currencyCode:string>>"))))

@@ -43,6 +43,13 @@ def test_more_names_than_go_to_a_task(spark, tax, monkeypatch):
     assert rows(sk.skills_in(docs, tax, "id", "text")) == held and rows(sk.resolve_skills(tokens, tax)) == resolved and len(held) == 5
 
 
+def test_requirements_by_skill(spark, tax):
+    asked = [("a", True, "Python and C# ; Node.js or machine learning"), ("a", True, "Python, C#"), ("a", False, "Either Python/C#"), ("b", True, "basket weaving"), ("b", None, "py"), ("c", True, None), ("c", True, "")]
+    df = spark.createDataFrame(asked, "query string, must boolean, text string")
+    assert rows(sk.expand_requirements(df, tax)) == sorted([("a", True, "Python", []), ("a", True, "C#", []), ("a", True, "Machine learning", ["Node.js"]), ("a", False, "C#", ["Python"]), ("b", None, "Python", [])], key=repr)
+    assert rows(sk.expand_requirements(df.limit(0), tax)) == []
+
+
 def test_redaction_of_names():
     cv = "Curriculum Vitae\nSam O'Neil | \nsam@mail.example, 0100 123 4567\nSAM O'NEIL led sam@mail.example"
     out, values = ex.redacted_with_names(cv)
