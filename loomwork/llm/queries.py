@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.canonical import map_values
+from loomwork.llm.canonical import EMPLOYMENT_EXTRAS, PLACE_EXTRAS, map_values
 from loomwork.llm.language import fit_network, identify, label_language
 from loomwork.llm.leakage import find_leaks
 from loomwork.llm.near_copies import near_copy_classes, near_copy_groups, near_copy_pairs
@@ -32,13 +32,38 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@registry.query()
+_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]"
+
+
+def _compact_sql(x: str) -> str:
+    for letter, plain in (("ł", "l"), ("ø", "o"), ("đ", "d"), ("ð", "d"), ("þ", "th"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ı", "i")):
+        x = f"replace({x}, '{letter}', '{plain}')"
+    return rf"regexp_replace(strip_accents({x}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+_P5 = rf"""with v as (select ingest_id, 'categories.location' as field, 'place' as kind, categories.location as value from lever_postings union all select ingest_id, 'categories.commitment', 'employment', categories.commitment from lever_postings
+union all select ingest_id, 'employment_type', 'employment', employment_type from workable_jobs union all select ingest_id, 'location.fullLocation', 'place', location.fullLocation from smartrecruiters_postings),
+t as (select * from v where regexp_replace(value, '{_SPACE}+', '', 'g') <> ''), d as (select distinct kind, value from t),
+c as (select canon_id, kind, [{_compact_sql("lower(coalesce(country, ''))")}, {_compact_sql("lower(coalesce(country_code, ''))")}] as lands, unnest(list_append(coalesce(aliases, []), canonical_name)) as name from canon_values),
+k as (select distinct canon_id, kind, lands, {_compact_sql("lower(name)")} as key from c where name <> ''), lands as (select distinct unnest(lands) as land from c),
+raw as (select kind, value, unnest(regexp_split_to_array(lower(value), '[,;/|()\[\]]|\s-\s')) as part from d where kind = 'place'),
+bare as (select kind, value, {_compact_sql(rf"regexp_replace(regexp_replace(part, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{PLACE_EXTRAS.pattern}', ' ', 'g')")} as part from raw
+union all select kind, value, {_compact_sql(rf"regexp_replace(regexp_replace(lower(value), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{EMPLOYMENT_EXTRAS.pattern}', ' ', 'g')")} from d where kind = 'employment'),
+w as (select kind, value, part, kind = 'place' and part in (select land from lands where land <> '') as is_land from bare where part <> ''),
+named as (select kind, value, list(part) as spots from w where is_land group by 1, 2),
+ask as (select distinct kind, value, part, case when length(part) <= 4 then 0 when length(part) <= 7 then 1 else 2 end as most from w where not is_land),
+near as (select ask.kind, ask.value, ask.part, k.canon_id, k.lands, damerau_levenshtein(ask.part, k.key) as e from ask join k on ask.kind = k.kind and abs(length(ask.part) - length(k.key)) <= most where damerau_levenshtein(ask.part, k.key) <= most),
+best as (select kind, value, min((e, case when spots is null or list_has_any(spots, lands) then 0 else 1 end, canon_id)) as b from near left join named using (kind, value) group by 1, 2),
+m as (select t.*, coalesce(b[3], 0)::int as canon_id from t left join best using (kind, value))"""
+
+
+@registry.query(sql=f"{_P5} select ingest_id, field, canon_id from m")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each typed value with the entry of the reference list it means, 0 if none."""
     return map_values(typed_values(spark, sf_dir), table(spark, sf_dir, "canon_values")).select("ingest_id", "field", "canon_id")
 
 
-@registry.query()
+@registry.query(sql=f"{_P5} select field, trim(value, ' ') as value, count(*) as n_rows from m where canon_id = 0 group by 1, 2")
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed values without an entry, by field, with their number of rows."""
     mapped = map_values(typed_values(spark, sf_dir), table(spark, sf_dir, "canon_values"))
